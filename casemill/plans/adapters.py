@@ -55,9 +55,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as tickets."""
-    return documents(spark, sf_dir).select(
+def _as_tickets(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.concat(F.lit("D"), F.col("doc_id")).alias("case_id"),
         F.substring("text", 1, 50).alias("subject"),
         F.col("text").alias("description"),
@@ -67,6 +66,16 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as tickets."""
+    return _as_tickets(documents(spark, sf_dir))
+
+
+def raw_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as tickets in file order, without a position."""
+    return _as_tickets(table(spark, sf_dir, "documents")).drop("ingest_seq")
+
+
 def labelled_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tickets whose current category is the document's quality mark, where known."""
     marks = table(spark, sf_dir, "labels").select(

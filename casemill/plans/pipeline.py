@@ -13,7 +13,7 @@ from casemill.operators import cascade, clusters, dedup, embed, export, learn, p
 from casemill.operators import redact as redaction
 from casemill.operators import rules as R
 from casemill.plans import reports
-from casemill.session import scratch_path
+from casemill.session import scratch_path, spread
 from casemill.sources import readers, writers
 
 log = logging.getLogger(__name__)
@@ -127,7 +127,7 @@ def run_pipeline(
     paths["warehouse"] = writers.write_parquet(
         ingest(raw, staged, strict), f"{config.warehouse_dir}/{name}.parquet"
     )
-    warehouse = spark.read.parquet(paths["warehouse"])
+    warehouse = spread(spark.read.parquet(paths["warehouse"]), "case_id")
 
     labelled = redact_and_label(warehouse, rules, config.redact_pii, tagger)
     paths["with_rules"] = writers.write_parquet(
