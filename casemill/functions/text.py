@@ -86,7 +86,7 @@ def truncate(c: Column | str, length: int) -> Column:
 
 def words(c: Column | str, min_length: int = 2) -> Column:
     """Lower-cased word tokens in order."""
-    pattern = r"(?U)\b" + r"\w" * (min_length - 1) + r"\w+\b"
+    pattern = rf"(?U)\w{{{min_length},}}"
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(pattern), F.lit(0))
 
 

@@ -139,9 +139,11 @@ def apply_rules(
     # The joined text is its own projection so that the rules share one copy of it.
     subject = F.col("_searched")
     verdict = _scan(subject, usable) if as_data else _chain(subject, usable)
-    out = df.withColumn("_searched", searched_text(df, columns)).withColumn("_verdict", verdict)
-    return out.withColumns({f: F.col(f"_verdict.{f}") for f in VERDICT_FIELDS}).drop(
-        "_searched", "_verdict"
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in VERDICT_FIELDS]
+    # Expanding the verdict keeps later filters on it from running the patterns again:
+    # a filter moves through a projection, but not below the row it is read from.
+    return df.withColumn("_searched", searched_text(df, columns)).select(
+        *kept, F.inline_outer(F.array(verdict))
     )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casemill.functions import vectors as V
-from casemill.session import fits
+from casemill.session import fits, spread
 
 # Up to this many query vectors are sent to every executor as one matrix.
 BROADCAST_QUERIES = 4_096
@@ -41,29 +41,26 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype="float64") for v in vectors])
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best rows of one block for every query, ties to the smaller id."""
-    scores = np.round(queries @ rows.T, TIE_DECIMALS)
-    kept = []
-    for q in range(len(query_ids)):
-        line = scores[q]
-        candidates = np.arange(len(line))
-        if len(line) > k:
-            edge = np.partition(line, len(line) - k)[len(line) - k]
-            candidates = np.flatnonzero(line >= edge)
-        order = np.lexsort((ids[candidates], -line[candidates]))[:k]
-        chosen = candidates[order]
-        kept.append(
-            pd.DataFrame({"query_id": query_ids[q], "case_id": ids[chosen], "similarity": line[chosen]})
-        )
-    return pd.concat(kept, ignore_index=True)
-
-
-def _keep_k(found: pd.DataFrame, k: int) -> pd.DataFrame:
+def _first_k(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows per query, ties to the smaller id."""
     ordered = found.sort_values(["query_id", "similarity", "case_id"], ascending=[True, False, True])
     return ordered.groupby("query_id", sort=False).head(k)
 
 
+def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best rows of one block for every query; all ties of the last are sorted out."""
+    scores = np.round(queries @ rows.T, TIE_DECIMALS)
+    last = max(0, scores.shape[1] - k)
+    edge = np.partition(scores, last, axis=1)[:, last]
+    asked, found = np.nonzero(scores >= edge[:, None])
+    return _first_k(
+        pd.DataFrame(
+            {"query_id": query_ids[asked], "case_id": ids[found], "similarity": scores[asked, found]}
+        ),
+        k,
+    )
+
+
 def nearest(
     corpus: DataFrame,
     queries: DataFrame,
@@ -82,7 +79,7 @@ def nearest(
     id_type = dict(corpus.dtypes)["case_id"]
     query_type = dict(queries.dtypes)["query_id"]
     out_schema = f"query_id {query_type}, case_id {id_type}, similarity double"
-    unit_corpus = corpus.select("case_id", V.unit(F.col("embedding"), "double").alias("embedding"))
+    unit_corpus = spread(corpus, "case_id").select("case_id", V.unit(F.col("embedding"), "double").alias("embedding"))
     unit_queries = queries.select("query_id", V.unit(F.col("embedding"), "double").alias("embedding"))
     if fits(queries, max_broadcast):
         found = _against_all_queries(unit_corpus, unit_queries, k, block_rows, out_schema)
@@ -109,7 +106,7 @@ def _against_all_queries(
             for start in range(0, len(batch), block_rows):
                 block = batch.iloc[start : start + block_rows]
                 new = _best(query_ids, matrix, block["case_id"].to_numpy(), _matrix(block["embedding"]), k)
-                best = new if best is None else _keep_k(pd.concat([best, new], ignore_index=True), k)
+                best = new if best is None else _first_k(pd.concat([best, new], ignore_index=True), k)
         if best is not None:
             yield best
 

@@ -27,7 +27,7 @@ from casemill.operators import (
 from casemill.operators import rules as R
 from casemill.plans import adapters as A
 from casemill.plans import pipeline, reports
-from casemill.session import scratch_path
+from casemill.session import scratch_path, settle, spread, stored
 from casemill.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -303,7 +303,7 @@ def _phrase_masks() -> str:
 )
 def mask_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = redact.gazetteer_tagger(A.SAMPLE_PHRASES)
-    turns = A.table(spark, sf_dir, "conversations")
+    turns = spread(A.table(spark, sf_dir, "conversations"), "conv_id", "turn")
     masked = turns.withColumn("masked", redact.mask_entities(F.col("text"), tag(F.col("text"))))
     return masked.select("conv_id", "turn", F.md5(F.col("masked").cast("binary")).alias("text_md5"))
 
@@ -755,7 +755,7 @@ ck AS (
 
 def _corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxic documents corrected to a known code, poor ones to a code without a name."""
-    decided = A.keyed(spark, sf_dir)
+    decided = stored(A.keyed(spark, sf_dir), "classified")
     code = F.when(F.col("toxic") == 1, "TONE.INSULT").when(F.col("quality") == 0, "REVIEW.LOW")
     corrections = (
         A.table(spark, sf_dir, "labels")
@@ -899,7 +899,7 @@ _LANGUAGES = """src AS (
 )
 def topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = topics.corpus_texts(A.by_language(spark, sf_dir), A.texts(spark, sf_dir))
-    return topics.keyword_candidates(topics.term_counts(corpus)).select("topic", "term", "rank")
+    return topics.keyword_candidates(settle(topics.term_counts(corpus))).select("topic", "term", "rank")
 
 
 @query("topic_keywords_diverse")

@@ -63,6 +63,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Unlike a checkpoint the result is a scan, so filters and column choices of
+    every later use reach the files.
+    """
+    path = scratch_path(df.sparkSession, name) + ".parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df``."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
