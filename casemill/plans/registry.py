@@ -864,8 +864,9 @@ def topic_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM f GROUP BY topic""",
 )
 def topic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    corpus = topics.corpus_texts(A.assigned(spark, sf_dir), A.texts(spark, sf_dir))
-    joined = topics.topic_corpus(corpus)
+    texts = A.texts(spark, sf_dir)
+    with_text = A.assigned(spark, sf_dir).join(texts.select("case_id"), "case_id", "left_semi")
+    joined = topics.topic_corpus(topics.corpus_texts(with_text, texts))
     return joined.select("topic", "n_texts", F.md5(F.col("corpus").cast("binary")).alias("corpus_md5"))
 
 
