@@ -58,10 +58,10 @@ def category_counts(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
 def top_categories(df: DataFrame, n: int = 10, cols: Columns = DEFAULT) -> DataFrame:
     """The ``n`` most frequent categories, each with how many more there are."""
     counts = category_counts(df, cols)
-    ranked = counts.withColumn(
-        "rank", F.row_number().over(W.orderBy(F.desc("n"), F.asc("value")))
-    ).withColumn("more", F.greatest(F.count(F.lit(1)).over(W.partitionBy()) - n, F.lit(0)))
-    return ranked.filter(F.col("rank") <= n)
+    others = F.greatest(counts.agg(F.count(F.lit(1)) - n).scalar(), F.lit(0))
+    # The window sees the n rows kept by the limit.
+    in_order = W.orderBy(F.desc("n"), F.asc("value"))
+    return counts.limit(n).select("value", "n", F.row_number().over(in_order).alias("rank"), others.alias("more"))
 
 
 def shares(counts: DataFrame) -> DataFrame:

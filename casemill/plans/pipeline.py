@@ -13,7 +13,7 @@ from casemill.operators import cascade, clusters, dedup, embed, export, learn, p
 from casemill.operators import redact as redaction
 from casemill.operators import rules as R
 from casemill.plans import reports
-from casemill.session import scratch_path, spread
+from casemill.session import spread, stored
 from casemill.sources import readers, writers
 
 log = logging.getLogger(__name__)
@@ -27,14 +27,18 @@ def ingest(
 ) -> DataFrame:
     """Prepared, typed and deduplicated tickets from a raw table.
 
-    The raw rows are stored once with their positions and hashes, so numbering and
-    deduplication read stable files and the dedup pass reads two narrow columns.
+    The typed rows are stored once with their positions and hashes, so positions are
+    fixed and the dedup pass reads two narrow columns. Only rows without an id need
+    dense positions, which cost one more write.
     """
     spark = raw.sparkSession
-    numbered_path = scratch_path(spark, "raw")
-    writers.write_parquet(raw, numbered_path)
-    stored = prepare.row_positions(spark.read.parquet(numbered_path))
-    prepared = prepare.prepare_tickets(stored, fields=tuple(fields), position=F.col("ingest_seq"))
+    if "ingest_seq" in raw.columns:
+        numbered = raw
+    elif "case_id" in raw.columns:
+        numbered = readers.with_ingest_seq(raw)
+    else:
+        numbered = prepare.row_positions(stored(raw, "raw"))
+    prepared = prepare.prepare_tickets(numbered, fields=tuple(fields), position=F.col("ingest_seq"))
     prepare.require_essential(prepared)
     prepare.missing_optional(prepared)
     typed = dedup.with_content_hash(prepare.cast_types(prepared, strict))
@@ -68,7 +72,8 @@ def discover(
     cluster = clusterer or (
         lambda v: clusters.kmeans_topics(v, min_cluster_size=config.min_cluster_size)
     )
-    assigned = cluster(vectors).join(tickets.select("case_id", order), "case_id")
+    # Every table of the report reads the assignment, so the model runs once.
+    assigned = stored(cluster(vectors).join(tickets.select("case_id", order), "case_id"), "topics")
     corpus = topics.corpus_texts(assigned, embed.texts(tickets), order=order)
     table = topics.topic_table(
         topics.topic_sizes(assigned),
@@ -154,6 +159,6 @@ def run_pipeline(
     paths["classified"] = writers.write_parquet(
         export.with_audit(classified), f"{config.redacted_dir}/{name}_classified.parquet"
     )
-    stored = spark.read.parquet(paths["classified"])
-    paths.update(export_with_evaluation(stored, name, config))
+    written = spark.read.parquet(paths["classified"])
+    paths.update(export_with_evaluation(written, name, config))
     return paths

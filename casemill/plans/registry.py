@@ -874,7 +874,7 @@ _KEYWORDS = f"""
 f AS (SELECT topic, ingest_seq, text FROM (
         SELECT *, row_number() OVER (PARTITION BY topic ORDER BY ingest_seq) AS rn FROM src WHERE topic <> -1)
       WHERE rn <= 50),
-w AS (SELECT topic, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+w AS (SELECT topic, ingest_seq, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
         lambda t: NOT list_contains([{", ".join(_quoted(s) for s in stopwords.ENGLISH)}], t)) AS tokens FROM f
       WHERE topic IN (SELECT topic FROM f GROUP BY topic HAVING count(*) >= 3)),
 g AS (SELECT topic, unnest(tokens) AS term FROM w
@@ -903,10 +903,38 @@ def topic_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.keyword_candidates(settle(topics.term_counts(corpus))).select("topic", "term", "rank")
 
 
-@query("topic_keywords_diverse")
+_PAIRS = [(a, b) for a in range(1, 6) for b in range(a + 1, 6)]
+
+_DIVERSE = f"""{_KEYWORDS},
+cand AS (SELECT topic, term, rank FROM best WHERE rank <= 20),
+gt AS (SELECT topic, ingest_seq, unnest(tokens) AS term FROM w
+       UNION ALL SELECT topic, ingest_seq,
+         unnest(list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1])) FROM w),
+dt AS (SELECT topic, ingest_seq, rank, CAST(count(*) AS DOUBLE) AS n
+       FROM gt JOIN cand USING (topic, term) GROUP BY ALL),
+norm AS (SELECT topic, rank, sqrt(sum(n * n)) AS norm FROM dt GROUP BY ALL),
+dots AS (SELECT a.topic, a.rank AS i, b.rank AS j, sum(a.n * b.n) AS dot
+         FROM dt a JOIN dt b ON a.topic = b.topic AND a.ingest_seq = b.ingest_seq AND a.rank < b.rank GROUP BY ALL),
+sim AS (SELECT a.topic, a.rank AS i, b.rank AS j, coalesce(dot, 0) / (a.norm * b.norm) AS s
+        FROM norm a JOIN norm b ON a.topic = b.topic AND a.rank < b.rank
+        LEFT JOIN dots ON dots.topic = a.topic AND dots.i = a.rank AND dots.j = b.rank),
+pick AS (
+  SELECT c1.topic, c1.rank AS r1, c2.rank AS r2, c3.rank AS r3, c4.rank AS r4, c5.rank AS r5,
+         round({" + ".join(f"s{a}{b}.s" for a, b in _PAIRS)}, 9) AS total
+  FROM cand c1 {" ".join(f"JOIN cand c{k} ON c{k}.topic = c1.topic AND c{k}.rank > c{k - 1}.rank" for k in range(2, 6))}
+  {" ".join(f"JOIN sim s{a}{b} ON s{a}{b}.topic = c1.topic AND s{a}{b}.i = c{a}.rank AND s{a}{b}.j = c{b}.rank" for a, b in _PAIRS)}),
+chosen AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY total, r1, r2, r3, r4, r5) AS rn FROM pick) WHERE rn = 1)"""
+
+
+@query(
+    "topic_keywords_diverse",
+    f"""WITH {_LANGUAGES}, {_DIVERSE}
+    SELECT c.topic, term FROM chosen JOIN cand c ON c.topic = chosen.topic AND c.rank IN (r1, r2, r3, r4, r5)""",
+)
 def topic_keywords_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = topics.corpus_texts(A.by_language(spark, sf_dir), A.texts(spark, sf_dir))
-    return topics.topic_keywords(corpus)
+    return topics.topic_keywords(corpus).select("topic", F.explode("keywords").alias("term"))
 
 
 @query(
@@ -955,8 +983,42 @@ def reduce_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.reduce_pca(A.vectors(spark, sf_dir))
 
 
-@query("topics_density")
+_SIDE = 0.1
+
+_TOUCH = " AND ".join(f"abs(a.cell[{i}] - b.cell[{i}]) <= 1" for i in (1, 2, 3)) + " AND a.cell <> b.cell"
+
+
+@query(
+    "topics_density",
+    f"""WITH RECURSIVE p AS (
+      SELECT 'D' || vec_id AS case_id, [CAST(floor(CAST(embedding[1] AS DOUBLE) / {_SIDE}) AS INTEGER),
+             CAST(floor(CAST(embedding[2] AS DOUBLE) / {_SIDE}) AS INTEGER),
+             CAST(floor(CAST(embedding[3] AS DOUBLE) / {_SIDE}) AS INTEGER)] AS cell FROM embeddings),
+    n AS (SELECT cell, count(*) AS n FROM p GROUP BY cell),
+    d AS (SELECT * FROM n WHERE n >= 5),
+    reach(start, cell) AS (
+      SELECT cell, cell FROM d
+      UNION SELECT a.start, b.cell FROM reach a JOIN d b ON {_TOUCH}),
+    core AS (SELECT cell, min(start) AS label FROM reach GROUP BY cell),
+    edge AS (
+      SELECT cell, label FROM (
+        SELECT b.cell, label, row_number() OVER (PARTITION BY b.cell ORDER BY a.n DESC, a.cell) AS rn
+        FROM n b JOIN d a ON b.n < 5 AND {_TOUCH} JOIN core ON core.cell = a.cell) WHERE rn = 1),
+    l AS (SELECT * FROM core UNION ALL SELECT * FROM edge),
+    z AS (SELECT label, row_number() OVER (ORDER BY sum(n) DESC, min(l.cell)) - 1 AS topic
+          FROM l JOIN n ON l.cell = n.cell GROUP BY label HAVING sum(n) >= 3)
+    SELECT case_id, CAST(coalesce(topic, -1) AS INTEGER) AS topic
+    FROM p LEFT JOIN l ON p.cell = l.cell LEFT JOIN z ON l.label = z.label""",
+)
 def topics_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density over the first three axes as they are."""
+    axes = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
+    points = A.vectors(spark, sf_dir).select("case_id", axes.alias("point"))
+    return clusters.density_topics(points, _SIDE, 3)
+
+
+@query("topics_density_reduced")
+def topics_density_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = clusters.reduce_pca(A.vectors(spark, sf_dir), 3)
     return clusters.density_topics(points, clusters.typical_side(points, 3), 3)
 

@@ -116,7 +116,7 @@ def lookup(
     """
     if fits(small, max_rows):
         return big.join(F.broadcast(small), on, how)
-    spread_over = salt_by or [c for c in big.columns if c not in on] or list(on)
+    spread_over = salt_by or [f"`{c}`" for c in big.columns if c not in on] or list(on)
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_over), F.lit(salts)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
