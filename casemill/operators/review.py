@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import scores, text
 from casemill.operators import export
-from casemill.session import lookup
+from casemill.session import lookup, settle
 
 SUBJECT_CHARS = 80
 DESCRIPTION_CHARS = 300
@@ -76,8 +76,10 @@ def apply_corrections(
     A code without a name stands for itself. Names are looked up on the corrections,
     so the tickets are joined once.
     """
-    last = lookup(latest_corrections(corrections, order), options.withColumnRenamed("code", "corrected_code"), ["corrected_code"])
-    named = last.select("case_id", "corrected_code", F.coalesce("name", "corrected_code").alias("_name"))
+    names = settle(options.withColumnRenamed("code", "corrected_code"))
+    last = lookup(latest_corrections(corrections, order), names, ["corrected_code"])
+    # Written once: the size check and the join then read it back.
+    named = settle(last.select("case_id", "corrected_code", F.coalesce("name", "corrected_code").alias("_name")))
     joined = lookup(df, named, ["case_id"])
     hit = F.col("corrected_code").isNotNull()
 

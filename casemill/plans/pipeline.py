@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.config import Config
-from casemill.operators import cascade, clusters, dedup, embed, export, learn, prepare, topics
+from casemill.operators import cascade, clusters, dedup, embed, export, learn, prepare, review, topics
 from casemill.operators import redact as redaction
 from casemill.operators import rules as R
 from casemill.plans import reports
@@ -108,6 +108,15 @@ def export_with_evaluation(classified: DataFrame, name: str, config: Config) ->
     return paths
 
 
+def close_review(
+    classified: DataFrame, corrections: DataFrame, taxonomy: DataFrame, config: Config, order: str | None = None
+) -> dict[str, str]:
+    """Apply a reviewer's corrections and store the result as training labels."""
+    options = review.category_options(classified, taxonomy)
+    corrected = review.apply_corrections(classified, corrections, options, order)
+    return writers.write_training_labels(review.training_labels(corrected), config.reports_dir)
+
+
 def run_pipeline(
     spark: SparkSession,
     raw: DataFrame | str,

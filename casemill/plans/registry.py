@@ -753,17 +753,20 @@ ck AS (
          LEFT JOIN opt ON opt.code = corrected_code)"""
 
 
-def _corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxic documents corrected to a known code, poor ones to a code without a name."""
-    decided = stored(A.keyed(spark, sf_dir), "classified")
     code = F.when(F.col("toxic") == 1, "TONE.INSULT").when(F.col("quality") == 0, "REVIEW.LOW")
-    corrections = (
+    return (
         A.table(spark, sf_dir, "labels")
         .select(F.concat(F.lit("D"), F.col("doc_id")).alias("case_id"), code.alias("corrected_code"), "doc_id")
         .filter(F.col("corrected_code").isNotNull())
     )
+
+
+def _corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = stored(A.keyed(spark, sf_dir), "classified")
     options = review.category_options(decided, _taxonomy(spark))
-    return review.apply_corrections(decided, corrections, options, "doc_id")
+    return review.apply_corrections(decided, _corrections(spark, sf_dir), options, "doc_id")
 
 
 @query(
@@ -785,6 +788,22 @@ def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.training_labels(_corrected(spark, sf_dir), F.lit("2024-01-01T00:00:00"))
 
 
+@query(
+    "review_feedback",
+    f"""WITH {_CORRECTED}, old AS (SELECT 'D' || doc_id AS case_id, CAST(quality AS VARCHAR) AS category FROM labels)
+    SELECT ck.case_id, coalesce(predicted_code, category) AS current_category
+    FROM ck LEFT JOIN old ON ck.case_id = old.case_id""",
+)
+def review_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewed labels written, read back, and set as categories to train on."""
+    decided = stored(A.keyed(spark, sf_dir), "classified")
+    config = Config().under(scratch_path(spark, "review"))
+    paths = pipeline.close_review(decided, _corrections(spark, sf_dir), _taxonomy(spark), config, "doc_id")
+    labels = readers.read_parquet(spark, paths["parquet_path"])
+    tickets = A.labelled_tickets(spark, sf_dir).select("case_id", "current_category")
+    return review.as_categories(tickets, labels)
+
+
 # --- Vectors ----------------------------------------------------------------------
 
 

@@ -147,17 +147,28 @@ def test_confusion_sums_to_the_evaluable_rows(spark, pairs):
 
 def test_summary_and_evaluation_reports(spark, classified):
     summary = reports.summary_report(classified).head()
-    assert summary["metadata"]["total"] == 8 and summary["metadata"]["coverage_by_strategy"] == 87.5
-    assert summary["strategy_breakdown"] == {"rules": 5.0, "ml_model": 2.0, "none": 1.0}
+    assert summary["metadata"].asDict() | {"generated_at": ""} == {
+        "generated_at": "", "total_tickets": 8, "classified_tickets": 7, "coverage_percentage": 87.5,
+        "high_confidence_predictions": 5, "high_confidence_percentage": 62.5,
+    }
+    written = reports.summary_report(classified).select(
+        F.to_json("strategy_breakdown").alias("s"), F.map_keys("confidence_statistics").alias("k")
+    ).head()
+    assert written["s"] == '{"rules":5,"ml_model":2,"none":1}'
+    assert written["k"] == ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
     assert math.isclose(summary["confidence_statistics"]["max"], 1.0)
     evaluation = reports.evaluation_report(classified).head()
-    assert evaluation["evaluation_type"] == "confusion_matrix"
-    assert evaluation["confusion_metrics"]["accuracy"] == 0.6
-    assert len(evaluation["confusion_metrics"]["confusion"]) == 9
+    assert evaluation["metadata"]["evaluation_type"] == "confusion_matrix"
+    assert evaluation["coverage_metrics"]["unclassified_tickets"] == 1
+    quality = evaluation["confusion_metrics"]
+    assert (quality["accuracy"], quality["f1_score"], quality["support"]) == (0.6, 0.68, 5)
+    assert quality["labels"] == ["a", "b", "c"]
+    assert quality["confusion_matrix"] == [[2, 1, 0], [0, 1, 1], [0, 0, 0]]
+    assert quality["classification_report"]["macro avg"]["support"] == 5
     bare = reports.evaluation_report(classified.drop("current_category")).head()
-    assert bare["evaluation_type"] == "coverage_only"
+    assert bare["metadata"]["evaluation_type"] == "coverage_only"
     untrue = classified.withColumn("current_category", F.lit(None).cast("string"))
-    assert reports.evaluation_report(untrue).head()["evaluation_type"] == "coverage_only"
+    assert reports.evaluation_report(untrue).head()["metadata"]["evaluation_type"] == "coverage_only"
 
 
 def test_no_window_over_raw_rows(classified):

@@ -81,9 +81,9 @@ def test_reports(spark, finished):
     sizes = [t["size"] for t in topics["topics"]]
     assert sizes == sorted(sizes, reverse=True)
     summary = json.loads("\n".join(r["value"] for r in spark.read.text(finished["summary_json_path"]).collect()))
-    assert summary["metadata"]["total"] == 61
+    assert summary["metadata"]["total_tickets"] == 61
     evaluation = spark.read.json(finished["evaluation_json_path"]).head()
-    assert evaluation["evaluation_type"] == "confusion_matrix"
+    assert evaluation["metadata"]["evaluation_type"] == "confusion_matrix"
 
 
 def test_switching_masking_off_uses_raw_text(spark, source, tmp_path):
