@@ -18,15 +18,15 @@ WHITESPACE = (
 # decides what bare digit runs become: ten are a phone, nine an SSN, and a run of
 # seventeen is a VIN.
 PII_PATTERNS = {
-    "EMAIL": r"\b[0-9A-Za-z%+._-]+@[0-9A-Za-z.-]+\.[A-Za-z|]{2,}\b",
-    "PHONE": r"\b(?:\+?1[\s.-]?)?\(?[0-9]{3}\)?[\s.-]?[0-9]{3}[\s.-]?[0-9]{4}\b",
-    "VIN": r"\b[0-9A-HJ-NPR-Z]{17}\b",
+    "EMAIL": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
+    "PHONE": r"\b(?:\+?1[-.\s]?)?\(?([0-9]{3})\)?[-.\s]?([0-9]{3})[-.\s]?([0-9]{4})\b",
+    "VIN": r"\b[A-HJ-NPR-Z0-9]{17}\b",
     "SSN": r"\b\d{3}-?\d{2}-?\d{4}\b",
-    "CREDIT_CARD": r"\b(?:\d{4}[\s-]?){3}\d{4}\b",
+    "CREDIT_CARD": r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b",
 }
 
 # Without one of these a text holds none of the classes after EMAIL.
-_NUMBER_GATE = r"(?U)\d{3}|[0-9A-HJ-NPR-Z]{17}"
+_NUMBER_GATE = r"(?U)\d{3}|[A-HJ-NPR-Z0-9]{17}"
 
 # Python's word boundary, digit and space classes cover all of Unicode.
 _UNICODE = "(?U)"

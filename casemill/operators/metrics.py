@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -75,15 +75,18 @@ def quantiles(
     column: str,
     probs: Sequence[float] = QUARTILES,
     max_rows: int = PERCENTILE_ROWS,
+    n: int | None = None,
 ) -> DataFrame:
     """One row (n, q0, q1, ...): exact percentiles with linear interpolation.
 
+    ``n`` is the number of values, counted here unless the caller knows it.
+
     ``percentile`` gathers all distinct values in one buffer, so it serves short
     columns only. For a longer one a sketch brackets each wanted rank, the values
     outside the brackets are merely counted, and those inside are ranked.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    n = values.count()
+    n = values.count() if n is None else n
     names = [f"q{i}" for i in range(len(probs))]
     if n <= max_rows:
         every = F.percentile("v", F.array(*[F.lit(p) for p in probs]))
@@ -124,22 +127,38 @@ def quantiles(
     return runs.agg(F.lit(n).cast("bigint").alias("n"), *parts)
 
 
-def describe(df: DataFrame, column: str = "confidence", max_rows: int = PERCENTILE_ROWS) -> DataFrame:
-    """One row: count, mean, sample deviation, min, quartiles, max."""
+def moments(column: str) -> list[Column]:
+    """Count, mean, sample deviation, min and max, for one global aggregation."""
     c = F.col(column).cast("double")
-    moments = df.agg(
+    return [
         F.count(c).alias("count"),
         F.avg(c).alias("mean"),
         F.stddev_samp(c).alias("std"),
         F.min(c).alias("min"),
         F.max(c).alias("max"),
+    ]
+
+
+def describe(
+    df: DataFrame, column: str = "confidence", max_rows: int = PERCENTILE_ROWS, known: Row | None = None
+) -> DataFrame:
+    """One row: count, mean, sample deviation, min, quartiles, max.
+
+    ``known`` is a row that already holds the moments.
+    """
+    row = known or df.agg(*moments(column)).head()
+    found = quantiles(df, column, QUARTILES, max_rows, row["count"])
+    given = {c: F.lit(row[c]).cast("double").alias(c) for c in ("mean", "std", "min", "max")}
+    return found.select(
+        F.col("n").alias("count"),
+        given["mean"],
+        given["std"],
+        given["min"],
+        F.col("q0").alias("p25"),
+        F.col("q1").alias("p50"),
+        F.col("q2").alias("p75"),
+        given["max"],
     )
-    found = quantiles(df, column, QUARTILES, max_rows).select(
-        F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75")
-    )
-    # Both sides are one row, whatever the input.
-    both = moments.withColumn("_one", F.lit(1)).join(found.withColumn("_one", F.lit(1)), "_one")
-    return both.select("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def histogram(df: DataFrame, column: str = "confidence", bins: int = 10) -> DataFrame:
@@ -219,7 +238,7 @@ def confusion(df: DataFrame, cols: Columns = DEFAULT) -> DataFrame:
 
 def confusion_labels(cells: DataFrame) -> DataFrame:
     """Sorted union of true and predicted labels."""
-    both = cells.select(F.col("y_true").alias("label")).union(cells.select("y_pred"))
+    both = cells.select(F.explode(F.array("y_true", "y_pred")).alias("label"))
     return both.distinct().orderBy("label")
 
 
@@ -258,14 +277,14 @@ def accuracy(cells: DataFrame) -> DataFrame:
 def per_label(cells: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support per label; a zero divisor gives 0."""
     hit = F.when(F.col("side") == F.col("other"), F.col("n")).otherwise(0)
-    as_true = cells.select(
-        F.col("y_true").alias("side"), F.col("y_pred").alias("other"), "n", F.lit(True).alias("truth")
-    )
-    as_pred = cells.select(
-        F.col("y_pred").alias("side"), F.col("y_true").alias("other"), "n", F.lit(False).alias("truth")
-    )
+    sides = [
+        F.struct(
+            F.col(side).alias("side"), F.col(other).alias("other"), "n", F.lit(side == "y_true").alias("truth")
+        )
+        for side, other in (("y_true", "y_pred"), ("y_pred", "y_true"))
+    ]
     sums = (
-        as_true.union(as_pred)
+        cells.select(F.inline(F.array(*sides)))
         .groupBy(F.col("side").alias("label"))
         .agg(
             F.sum(F.when(F.col("truth"), hit).otherwise(0)).alias("tp"),

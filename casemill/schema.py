@@ -42,6 +42,7 @@ RULE_SCHEMA = T.StructType(
 TAXONOMY_SCHEMA = "code string, name string, description string"
 VECTOR_SCHEMA = "case_id string, embedding array<float>"
 
+# The exported label table.
 LABEL_COLUMNS = {
     "case_id": "string",
     "predicted_code": "string",
