@@ -108,8 +108,8 @@ def test_failed_evaluation_keeps_the_labels(spark, finished, tmp_path, monkeypat
 
 
 def test_missing_essential_column_fails(spark, tmp_path):
-    raw = spark.createDataFrame([("1", "s")], "case_id string, subject string").drop("subject")
-    with pytest.raises(Exception):
+    raw = spark.createDataFrame([("1", "s")], "case_id string, note string")
+    with pytest.raises(ValueError, match="subject.*description"):
         pipeline.run_pipeline(spark, raw, "bad", Config().under(str(tmp_path)), RULES)
 
 
