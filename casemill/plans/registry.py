@@ -974,7 +974,7 @@ def topic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         topics.topic_keywords(corpus, diverse=False),
         topics.topic_exemplars(assigned),
     )
-    return table.select(
+    return topics.largest_first(table).select(
         "cluster_id",
         "size",
         F.array_join("keywords", ",").alias("keywords"),
