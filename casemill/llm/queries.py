@@ -52,7 +52,7 @@ MEASURES_SQL = rf"""
     SELECT rid, count(DISTINCT i + d) AS n_repeat_words
     FROM again, (SELECT unnest([0, 1, 2]) AS d) GROUP BY rid),
   lines AS (
-    SELECT rid, list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{_WORD}')) AS l
+    SELECT rid, [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '{_WORD}')] AS l
     FROM base),
   counted AS (
     SELECT b.rid, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS n_words,
@@ -81,12 +81,12 @@ MEASURES_SQL = rf"""
   of_all AS (
     SELECT share, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75 FROM shares GROUP BY ALL),
   cuts AS (
-    SELECT o.lang, o.source, share,
+    SELECT o.lang, o.source, o.share,
            CASE WHEN o.n >= 100 THEN o.q75 WHEN l.n >= 100 THEN l.q75 ELSE a.q75 END AS q75,
            CASE WHEN o.n >= 100 THEN o.q25 WHEN l.n >= 100 THEN l.q25 ELSE a.q25 END AS q25,
-           CASE share WHEN 's_signs' THEN 10 WHEN 's_capitals' THEN 50 ELSE 150 END AS least
+           CASE o.share WHEN 's_signs' THEN 10 WHEN 's_capitals' THEN 50 ELSE 150 END AS least
     FROM own o JOIN by_lang l ON o.share = l.share AND o.lang IS NOT DISTINCT FROM l.lang
-    JOIN of_all a USING (share)),
+    JOIN of_all a ON a.share = o.share),
   tops AS (
     SELECT lang, source, max(q75 + 3 * greatest(q75 - q25, least)) FILTER (share = 's_signs') AS m_signs,
            max(q75 + 3 * greatest(q75 - q25, least)) FILTER (share = 's_lines') AS m_lines,
@@ -148,14 +148,14 @@ WITH RECURSIVE sized AS (
   placed AS (
     SELECT s.*, source_size, target,
            coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY hash
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
     FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
   passes AS (
     SELECT *, floor(target)::BIGINT AS budget,
            CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS passes
     FROM placed)
 SELECT doc_id, size, source_size, target,
-       (passes * size + least(size, greatest(0, budget - passes * source_size - at)))::BIGINT AS taken
+       (passes * size + least(size, greatest(0, budget - passes * source_size - pos)))::BIGINT AS taken
 FROM passes""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.plan(table(spark, sf_dir, "documents"))

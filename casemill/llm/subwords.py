@@ -94,6 +94,15 @@ class Encoder:
             encoded = [self.tokenizer.encode(text, add_special_tokens=False)]
         return b"".join(np.array(e.ids, self.dtype).tobytes() for e in encoded)
 
+    def encode_words(self, words: list[str]) -> bytes:
+        """The ids of words that stand with one blank between them."""
+        if not self.by_word or not words:
+            return self.encode(" ".join(words))
+        try:
+            return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
+        except _Uneven:
+            return self.encode(" ".join(words))
+
 
 def ship(spark: SparkSession, path: str) -> Broadcast:
     """The tokenizer file at ``path``, read once by the driver, for ``encoder`` in the tasks."""
