@@ -21,10 +21,10 @@ import numpy as np
 
 WIDTH = 16
 OVERLAP = 4
-SIZE = 8
-CLASSES = 16
-BUCKETS = 1024
-OWN_BUCKETS = 768
+SIZE = 16
+CLASSES = 128
+BUCKETS = 4096
+OWN_BUCKETS = 3072
 
 #: Largest magnitude of each table, so that no exponential overflows.
 _BOUND = {"q": 2.5, "k": 2.5, "v": 5.0, "x": 10.0, "z": 1.0, "r": 5.0}
@@ -53,12 +53,25 @@ def vocabulary(counts: np.ndarray) -> Vocabulary:
     return Vocabulary(kind, bucket.astype(np.int32), share, len(counts) - 1)
 
 
-def start() -> dict[str, np.ndarray]:
+def pairs(ids: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """How often a class follows a bucket in a row of ids that begins and ends with the end's id."""
+    cell = vocab.bucket[ids[:-1]].astype(np.int64) * CLASSES + vocab.kind[ids[1:]]
+    return np.bincount(cell, minlength=BUCKETS * CLASSES)
+
+
+def start(after: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Weights before training; ``after`` (counts of ``pairs``) gives the logits of each bucket."""
     rng = np.random.default_rng(1)
     table = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
+    logits = np.zeros((BUCKETS, CLASSES), np.float32)
+    if after is not None and after.any():
+        n = after.reshape(BUCKETS, CLASSES).astype(np.float64)
+        backing = n.sum(0) + 0.5
+        share = (n + 5 * backing / backing.sum()) / (n.sum(1, keepdims=True) + 5)
+        logits = np.maximum(np.log(share), -_BOUND["x"]).astype(np.float32)
     return {
-        "q": table(BUCKETS, SIZE), "k": table(BUCKETS, SIZE), "v": table(BUCKETS, SIZE),
-        "x": np.zeros((BUCKETS, CLASSES), np.float32), "z": table(SIZE, CLASSES), "r": np.zeros(WIDTH, np.float32),
+        "q": table(BUCKETS, SIZE), "k": table(BUCKETS, SIZE), "v": table(BUCKETS, SIZE), "x": logits,
+        "z": table(SIZE, CLASSES), "r": np.zeros(WIDTH, np.float32),
     }
 
 
@@ -104,7 +117,7 @@ def joined(params: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def train(params: dict[str, np.ndarray], windows: Iterator[np.ndarray], vocab: Vocabulary, rate: float = 0.02):
     """Adam over batches of windows (rows of WIDTH + 1 ids, -1 behind a short text's end)."""
-    params = {k: v.astype(np.float64) for k, v in params.items()}
+    params = {k: v.astype(np.float32) for k, v in params.items()}
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     scale = SIZE**-0.5
@@ -127,7 +140,7 @@ def train(params: dict[str, np.ndarray], windows: Iterator[np.ndarray], vocab: V
         d_in = np.concatenate(
             [np.matmul(d_s, k) * scale, np.matmul(d_s.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), d_gathered), d], -1
         )
-        d_table = np.zeros((BUCKETS, d_in.shape[-1]))
+        d_table = np.zeros((BUCKETS, d_in.shape[-1]), np.float32)
         np.add.at(d_table, bucket.ravel(), d_in.reshape(-1, d_in.shape[-1]))
         back = np.arange(WIDTH)[:, None] - np.arange(WIDTH)[None, :]
         both = d_s.sum(0)
@@ -137,11 +150,14 @@ def train(params: dict[str, np.ndarray], windows: Iterator[np.ndarray], vocab: V
             "z": gathered.reshape(-1, SIZE).T @ d.reshape(-1, CLASSES),
             "r": np.array([both[back == i].sum() for i in range(WIDTH)]),
         }
+        fade = rate * np.float32(np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
         for name, g in grads.items():
-            first[name] = 0.9 * first[name] + 0.1 * g
-            second[name] = 0.99 * second[name] + 0.01 * g * g
-            move = first[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
-            params[name] = np.clip(params[name] - rate * move, -_BOUND[name], _BOUND[name])
+            g = g.astype(np.float32)
+            first[name] += np.float32(0.1) * (g - first[name])
+            g *= g
+            second[name] += np.float32(0.01) * (g - second[name])
+            params[name] -= fade * first[name] / (np.sqrt(second[name]) + np.float32(1e-8))
+            np.clip(params[name], -_BOUND[name], _BOUND[name], out=params[name])
     return params
 
 

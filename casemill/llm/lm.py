@@ -10,11 +10,12 @@ chunk and what moves is distinct words, not tokens. The answers go back to the c
 where every text's sum is taken.
 
 *Attention* (``attention``). The same pass keeps each text's subword ids. Counts of all
-training ids give classes and shares; the network is trained in rounds on one window of
-every training text per round, in each task for itself from the same start, after which
-the tasks' weights are averaged. Scoring runs over every text whole, without a shuffle.
+training ids give classes and shares, counts of what class follows which id give the
+network's first logits; it is then trained in rounds on ``PER_TEXT`` windows of every
+training text per round, in each task for itself from the same start, after which the
+tasks' weights are averaged. Scoring runs over every text whole, without a shuffle.
 
-What the corpus gives (word counts, id counts, training windows) comes from every
+What the corpus gives (counts of words, ids and pairs, training windows) comes from every
 training row and grows with the input; the weights have a fixed size. Averages are sums
 of floating-point numbers in no fixed order, so attention scores of two runs may differ
 in their last digits. Words with equal 64-bit hashes count as one.
@@ -38,11 +39,13 @@ from casemill.llm import texts as X
 from casemill.session import plan_bytes, scratch_path
 
 ROUNDS = 2
-TRAIN_BATCH = 128
+PER_TEXT = 2
+TRAIN_BATCH = 256
+RATE = 0.01
 BUCKET_BYTES = 8_000_000
 MOST_BUCKETS = 4096
 MERGE_WORDS = 2_000_000
-REDUCERS = 32
+SLICES = 64
 
 _TO_WORDS = {**{c: " " for c in X.WHITE}, **{c: chr(c + 32) for c in range(65, 91)}}
 
@@ -59,7 +62,7 @@ def _bucket_bits(size: int) -> int:
 
 
 def _windows(ids: np.ndarray, end: int, rounds: int, seed: int) -> np.ndarray:
-    """One run of WIDTH + 1 ids per round, from a text with the end before and behind it; -1 fills up."""
+    """``rounds`` runs of WIDTH + 1 ids from a text with the end before and behind it; -1 fills up."""
     row = np.concatenate(([end], ids, [end]))
     width = attention.WIDTH + 1
     out = np.full((rounds, width), -1, np.int32)
@@ -132,7 +135,7 @@ def _chunk(slab, chunk, e, end, bits, rounds) -> Iterator[pa.RecordBatch]:
     places = np.split(steps.astype(np.uint32), w.first[1:-1]) if size else []
     ids = [e.encode_words([x for x in (t or "").translate(_TO_WORDS).split(" ") if x]) for t in slab.column("t").to_pylist()]
     windows = [
-        _windows(np.frombuffer(b, e.dtype).astype(np.int32), end, rounds, chunk + i).tobytes() if train[i] else None
+        _windows(np.frombuffer(b, e.dtype).astype(np.int32), end, rounds * PER_TEXT, chunk + i).tobytes() if train[i] else None
         for i, b in enumerate(ids)
     ]
     yield _record(size, {
@@ -287,12 +290,61 @@ def id_counts(texts: DataFrame, end: int) -> np.ndarray:
     return out
 
 
+def _slices(values: np.ndarray, n: int) -> pa.RecordBatch:
+    parts = np.array_split(values.astype(np.float64), SLICES)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([n] * SLICES, pa.int64())],
+        names=["slice", "numbers", "n"],
+    )
+
+
+_SLICE = "slice int, numbers binary, n long"
+
+
+def _summed(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """The sum of arrays that many tasks gave in slices; the driver gets one array."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for s, b, n in zip(*(batch.column(c).to_pylist() for c in ("slice", "numbers", "n")), strict=True):
+                got = sums.setdefault(s, [0.0, 0])
+                got[0], got[1] = got[0] + np.frombuffer(b, np.float64), got[1] + n
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int32()), pa.array([v[0].tobytes() for v in sums.values()], pa.binary()),
+                 pa.array([v[1] for v in sums.values()], pa.int64())],
+                names=["slice", "numbers", "n"],
+            )
+
+    found = sorted(rows.repartition("slice").mapInArrow(add, _SLICE).collect(), key=lambda r: r["slice"])
+    if not found:
+        return np.zeros(0), 0
+    return np.concatenate([np.frombuffer(r["numbers"], np.float64) for r in found]), found[0]["n"]
+
+
+def pair_counts(texts: DataFrame, vocab: attention.Vocabulary) -> np.ndarray:
+    """Counts of ``attention.pairs`` over the training texts."""
+    held = texts.sparkSession.sparkContext.broadcast(tuple(vocab))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = attention.Vocabulary(*held.value)
+        dtype, gap = "<u2" if v.end <= 1 << 16 else "<u4", np.array([v.end])
+        total = np.zeros(attention.BUCKETS * attention.CLASSES)
+        for whole in batches:
+            for batch in X.slabs(whole, "ids"):
+                rows = [np.frombuffer(b, dtype).astype(np.int64) for b in batch.column("ids").to_pylist()]
+                total += attention.pairs(np.concatenate([x for r in rows for x in (gap, r)] + [gap]), v)
+        yield _slices(total, 1)
+
+    return _summed(texts.filter("train").select("ids").mapInArrow(count, _SLICE))[0]
+
+
 def fit(texts: DataFrame, vocab: attention.Vocabulary, rounds: int = ROUNDS, batch_rows: int = TRAIN_BATCH):
     """The network's weights, averaged over the tasks after each round."""
     spark = texts.sparkSession
     width = attention.WIDTH + 1
-    params = attention.start()
-    size = len(attention.flat(params))
+    params = attention.start(pair_counts(texts, vocab))
     seen = texts.filter("train").select("windows")
     for r in range(rounds):
         held = spark.sparkContext.broadcast((params, tuple(vocab)))
@@ -306,8 +358,8 @@ def fit(texts: DataFrame, vocab: attention.Vocabulary, rounds: int = ROUNDS, bat
                 kept: list[np.ndarray] = []
                 for batch in batches:
                     for b in batch.column("windows").to_pylist():
-                        kept.append(np.frombuffer(b, np.int32).reshape(-1, width)[r])
-                        if len(kept) == batch_rows:
+                        kept += list(np.frombuffer(b, np.int32).reshape(-1, width)[r * PER_TEXT : (r + 1) * PER_TEXT])
+                        if len(kept) >= batch_rows:
                             n += len(kept)
                             yield np.stack(kept)
                             kept = []
@@ -315,27 +367,13 @@ def fit(texts: DataFrame, vocab: attention.Vocabulary, rounds: int = ROUNDS, bat
                     n += len(kept)
                     yield np.stack(kept)
 
-            got = attention.train(begin, windows(), attention.Vocabulary(*v))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([(attention.flat(got) * n).astype(np.float64).tobytes()]), pa.array([n], pa.int64())],
-                names=["weights", "n"],
-            )
-
-        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n = np.zeros(size), 0
-            for batch in batches:
-                for w, m in zip(batch.column("weights").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                    total, n = total + np.frombuffer(w, np.float64), n + m
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([total.tobytes()]), pa.array([n], pa.int64())], names=["weights", "n"]
-            )
+            got = attention.train(begin, windows(), attention.Vocabulary(*v), RATE)
+            if n:
+                yield _slices(attention.flat(got).astype(np.float64) * n, n)
 
-        # Tasks' sums are added up by REDUCERS tasks, so the driver gets that many rows at most.
-        shape = "weights binary, n long"
-        parts = seen.mapInArrow(learn, shape).repartition(REDUCERS).mapInArrow(add, shape).collect()
-        n = sum(p["n"] for p in parts)
+        total, n = _summed(seen.mapInArrow(learn, _SLICE))
         if n:
-            params = attention.unflat(sum(np.frombuffer(p["weights"], np.float64) for p in parts) / n)
+            params = attention.unflat(total / n)
     return params
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import decontaminate, mixture, quality_rules, token_files
+from casemill.llm import decontaminate, lm, mixture, quality_classifier, quality_rules, token_files
 from casemill.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 2: quality classifier -----------------------------------------------------
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = quality_classifier.held_out("doc_id")
+    model = quality_classifier.fit(docs, labels.filter(~held_out))
+    return quality_classifier.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 # --- 4: quality rules ----------------------------------------------------------
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -119,6 +132,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- 8: language-model scoring --------------------------------------------------
+
+
+@query("op8_lm_scores")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.scores(docs, public_tokenizers.path(TOKENIZER), ~lm.held_out("doc_id"))
+
+
 # --- 9: mixing sources ----------------------------------------------------------
 
 
