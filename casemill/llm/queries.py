@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import decontaminate, lm, mixture, quality_classifier, quality_rules, token_files
+from casemill.llm import decontaminate, jaccard_join, lm, mixture, quality_classifier, quality_rules, token_files
 from casemill.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- 3: n-gram Jaccard join -----------------------------------------------------
+
+
+@query("op3_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 # --- 4: quality rules ----------------------------------------------------------
 
 _WORD = r"[^\x20\x09-\x0D]+"
