@@ -12,17 +12,20 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 _BLANK = re.compile(r"(?<=\S)(?= \S)")
-# Letters that need no look at Unicode tables, then ASCII signs other than the apostrophe.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+# Runs of letters that need no look at Unicode tables, of digits, and of ASCII signs other
+# than the apostrophe: the pieces of a word that holds nothing else.
+_RUN = r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+"
+_RUNS, _PLAIN = re.compile(_RUN), re.compile(f"(?:{_RUN})+")
 
 
 class _Uneven(Exception):
@@ -40,12 +43,26 @@ class _Ids(dict):
     def __missing__(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Uneven
+        if "\n" in word:
+            return self.encoder.lines(self.lead, word)
         found = self.encoder.word(self.lead, word)
         if len(self) < CACHE_WORDS:
             self[word] = found
         return found
 
 
+class _Letters(dict):
+    """Code point -> the characters that stand for its bytes in the vocabulary."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.pre = tokenizer.pre_tokenizer
+
+    def __missing__(self, code: int) -> str:
+        self[code] = "".join(x for x, _ in self.pre.pre_tokenize_str(chr(code)))
+        return self[code]
+
+
 class Encoder:
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_str(file)
@@ -58,26 +75,30 @@ class Encoder:
             and not told.get("normalizer") and model.get("type") == "BPE"
             and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
         )
-        self.letters: dict[str, str] = {}
+        self.letters = _Letters(self.tokenizer)
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.first, self.later = _Ids(self, ""), _Ids(self, " ")
+        self.line_end = self._bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids) if self.by_word else b""
 
-    def _piece(self, piece: str) -> list[int]:
-        known = self.letters
-        for c in piece:
-            if c not in known:
-                known[c] = "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c))
-        return [x.id for x in self.tokenizer.model.tokenize("".join(map(known.__getitem__, piece)))]
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def lines(self, lead: str, word: str) -> bytes:
+        """A stretch without blanks over several lines; a single line end is a piece of its own."""
+        first, *later = word.split("\n")
+        try:
+            begin = (self.later if lead else self.first)[first]
+            return begin + b"".join(self.line_end + self.first[x] for x in later)
+        except _Uneven:
+            return self._bytes(self.tokenizer.encode(lead + word, add_special_tokens=False).ids)
 
     def word(self, lead: str, word: str) -> bytes:
-        plain = _PLAIN.fullmatch(word)
-        if plain:
-            letters, signs = plain.groups()
-            ids = self._piece(lead + letters) if letters else []
-            if signs:
-                ids += self._piece(signs if letters else lead + signs)
-        else:
-            ids = self.tokenizer.encode(lead + word, add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
+        if not _PLAIN.fullmatch(word):
+            return self._bytes(self.tokenizer.encode(lead + word, add_special_tokens=False).ids)
+        pieces = _RUNS.findall(word)
+        pieces[0] = lead + pieces[0]
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        return self._bytes([x.id for p in pieces for x in tokenize(p.translate(letters))])
 
     def encode(self, text: str) -> bytes:
         """The ids of the whole text, as little-endian numbers of ``dtype``."""
@@ -92,7 +113,7 @@ class Encoder:
                 encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         else:
             encoded = [self.tokenizer.encode(text, add_special_tokens=False)]
-        return b"".join(np.array(e.ids, self.dtype).tobytes() for e in encoded)
+        return b"".join(self._bytes(e.ids) for e in encoded)
 
     def encode_words(self, words: list[str]) -> bytes:
         """The ids of words that stand with one blank between them."""
