@@ -8,8 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import decontaminate, jaccard_join, lm, mixture, quality_classifier, quality_rules, token_files
-from casemill.session import scratch_path
+from casemill.llm import (
+    decontaminate,
+    jaccard_join,
+    lm,
+    mixture,
+    quality_classifier,
+    quality_rules,
+    token_files,
+    url_filters,
+    warc_audit,
+)
+from casemill.session import scratch_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -128,6 +138,52 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"))
 
 
+# --- 5: URL filters --------------------------------------------------------------
+
+SITES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+BLOCKED_WORDS = (
+    "adult ads banner bets bonus casino cheap click doorway escort farm gambling jackpot loans lottery "
+    "pharma pills poker porn sex spam torrent tracker viagra warez xxx"
+).split()
+URL_RULES = [*(url_filters.site(s, v) for s, v in SITES), *(url_filters.word(w) for w in BLOCKED_WORDS)]
+
+
+def _sites_sql(value: Callable[[str, str], str]) -> str:
+    arms = []
+    for s, v in sorted(SITES, key=lambda x: -len(x[0])):
+        host, _, path = s.partition("/")
+        arms.append(
+            f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}') THEN {value(s, v)}"
+        )
+    return "CASE " + " ".join(arms) + " END"
+
+
+_WORD_SQL = "CASE " + " ".join(
+    f"WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9]){w}($|[^A-Za-z0-9])') THEN '{w}'" for w in BLOCKED_WORDS
+) + " END"
+
+
+@query("op5_url_filters", f"""
+WITH cut AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0
+                         THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest
+    FROM pages),
+  split AS (
+    SELECT page_id, regexp_extract(rest, '^[^/]*') AS h, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path
+    FROM cut),
+  named AS (
+    SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM split),
+  ruled AS (
+    SELECT *, {_sites_sql(lambda s, v: f"'{s}'")} AS rule, {_sites_sql(lambda s, v: f"'{v}'")} AS ruling,
+           {_WORD_SQL} AS word
+    FROM named)
+SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN word IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+       CASE WHEN rule IS NULL THEN word END AS pattern
+FROM ruled""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("n_run")
+
+
 # --- 6: benchmark decontamination ----------------------------------------------
 
 
@@ -140,6 +196,39 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- 7: Merkle audit of WARC replicas ----------------------------------------------
+
+
+def damaged(archive: DataFrame) -> DataFrame:
+    """A replica of ``archive`` with every record lost or altered whose id says so."""
+    fate = F.substring(F.md5(F.concat(F.lit("fate "), F.coalesce(F.col("id").cast("string"), F.lit("none")))), 1, 2)
+    other = F.when(fate == "07", F.sha2("digest", 256)).otherwise(F.col("digest"))
+    return archive.filter(fate != "0a").withColumn("digest", other)
+
+
+@query("op7_warc_audit", r"""
+WITH records AS (
+    SELECT page_id, 'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Record-ID: <urn:page:'
+           || coalesce(page_id::VARCHAR, 'none') || '>' || e || 'WARC-Target-URI: ' || coalesce(url, '') || e
+           || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(coalesce(html, '')) || e || e
+           || coalesce(html, '') || e || e AS record
+    FROM pages, (SELECT chr(13) || chr(10) AS e)),
+  leaves AS (
+    SELECT coalesce((page_id // 65536) || '-' || substr(md5(record), 1, 2), 'none-' || substr(md5(record), 1, 4)) AS file,
+           page_id AS id, sha256(record) AS digest, strlen(record) AS length, count(*) AS copies
+    FROM records GROUP BY ALL),
+  placed AS (
+    SELECT *, coalesce(sum(length * copies) OVER (PARTITION BY file ORDER BY id, digest
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+           substr(md5('fate ' || coalesce(id::VARCHAR, 'none')), 1, 2) AS fate
+    FROM leaves)
+SELECT file, "offset", length::BIGINT AS length, id, CASE fate WHEN '07' THEN 'changed' ELSE 'missing' END AS state
+FROM placed WHERE fate IN ('07', '0a')""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = stored(warc_audit.manifest(table(spark, sf_dir, "pages")), "manifest")
+    return warc_audit.audit(archive, damaged(archive))
+
+
 # --- 8: language-model scoring --------------------------------------------------
 
 
