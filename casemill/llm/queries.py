@@ -15,6 +15,7 @@ from casemill.llm import (
     mixture,
     quality_classifier,
     quality_rules,
+    secret_scan,
     token_files,
     url_filters,
     warc_audit,
@@ -43,6 +44,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 1: secret scans --------------------------------------------------------------
+
+#: What a reviewer of the sample marks as a secret: 40 hexadecimal digits in an assignment.
+_REVIEWED = r'(?i)(?:key|token|secret)\s*=\s*"([0-9a-f]{40})"'
+
+
+def reviewed_findings(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Labelled findings: candidates of the learning documents, marked by the review."""
+    learn = F.coalesce(F.crc32(F.col("k").cast("string")) % 4 != 2, F.lit(False))
+    marked = docs.select(
+        F.col("doc_id").alias("k"),
+        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_REVIEWED), F.lit(1)))).alias("text"),
+    )
+    marked = marked.select("k", F.sha2("text", 256).alias("value"), F.lit(1).alias("yes")).distinct()
+    return found.filter(learn).select("k", "start", "value").join(marked, ["k", "value"], "left").select(
+        "k", "start", F.coalesce("yes", F.lit(0)).alias("secret")
+    )
+
+
+@query("op1_secret_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = stored(secret_scan.candidates(docs), "candidates")
+    labels = stored(reviewed_findings(docs, found), "reviewed")
+    scored = secret_scan.score(found, labels)
+    return scored.select(
+        F.col("k").alias("doc_id"), "start", "length", F.col("value").alias("value_sha256"), "score",
+        (F.col("score") >= 0.5).alias("is_secret"),
+    )
+
+
 # --- 2: quality classifier -----------------------------------------------------
 
 
