@@ -10,7 +10,13 @@ UNCLASSIFIED_NAME = "Unclassified"
 
 
 def clip01(c: Column) -> Column:
-    return F.when(c < 0, F.lit(0.0)).when(c > 1, F.lit(1.0)).otherwise(c)
+    """Confidence within 0 and 1; what is not a number is missing."""
+    return F.when(F.isnan(c), F.lit(None)).when(c < 0, F.lit(0.0)).when(c > 1, F.lit(1.0)).otherwise(c)
+
+
+def at_least(c: Column, threshold: Column | float) -> Column:
+    """Whether a score reaches the threshold; what is not a number does not."""
+    return (c >= threshold) & ~F.isnan(c)
 
 
 def null_if_blank(c: Column) -> Column:

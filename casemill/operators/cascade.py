@@ -6,7 +6,9 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casemill.functions import scores as S
 from casemill.operators import learn
+from casemill.session import lookup, stored
 
 THRESHOLD = 0.70
 
@@ -19,7 +21,7 @@ def decide(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     by_rule = F.col("rule_code").isNotNull()
     has_model = {"ml_code", "ml_confidence"} <= set(df.columns)
-    by_model = F.col("ml_confidence") >= threshold if has_model else F.lit(False)
+    by_model = S.at_least(F.col("ml_confidence"), threshold) if has_model else F.lit(False)
 
     def choose(rule: Column, model: str | Column, none: Column) -> Column:
         chosen = F.when(by_rule, rule)
@@ -43,7 +45,7 @@ def cascade(df: DataFrame, scores: DataFrame | None = None, threshold: float = T
     """``decide`` with scores (case_id, ml_code, ml_confidence) computed elsewhere."""
     if scores is None:
         return decide(df, threshold)
-    return decide(df.join(scores, "case_id", "left"), threshold)
+    return decide(lookup(df, scores, ["case_id"], "left", salts=1), threshold)
 
 
 def classify(
@@ -54,12 +56,12 @@ def classify(
 ) -> DataFrame:
     """``decide`` with a model that sees only the tickets the rules left over.
 
-    Tickets with a verdict are neither joined nor scored. Store ``df`` first: both
-    halves read it, each with its filter pushed down.
+    Tickets with a verdict are not scored, and vectors never meet the texts. Store
+    ``df`` first: it is read for its ids and then in whole.
     """
     if model is None or vectors is None:
         return decide(df, threshold)
-    labelled = decide(df.filter(F.col("rule_code").isNotNull()), threshold)
-    rest = df.filter(F.col("rule_code").isNull())
-    scored = learn.score(model, rest.join(vectors.select("case_id", "embedding"), "case_id", "left"))
-    return labelled.unionByName(decide(scored.drop("embedding"), threshold))
+    rest = df.filter(F.col("rule_code").isNull()).select("case_id")
+    scored = learn.score(model, vectors.select("case_id", "embedding").join(rest, "case_id", "left_semi"))
+    # Ids and scores alone are joined to the wide rows.
+    return cascade(df, stored(scored.select("case_id", "ml_code", "ml_confidence"), "scores"), threshold)

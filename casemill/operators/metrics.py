@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casemill.functions import scores
 from casemill.functions.scores import percent
 
 HIGH_CONFIDENCE = 0.7
@@ -82,8 +83,8 @@ def quantiles(
     ``n`` is the number of values, counted here unless the caller knows it.
 
     ``percentile`` gathers all distinct values in one buffer, so it serves short
-    columns only. For a longer one a sketch brackets each wanted rank, the values
-    outside the brackets are merely counted, and those inside are ranked.
+    columns only. For a longer one sketches bracket each wanted rank, the values
+    outside the bracket are merely counted, and those inside are ranked.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
     n = values.count() if n is None else n
@@ -94,37 +95,48 @@ def quantiles(
             "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)]
         )
 
-    margin = 10.0 / SKETCH_ACCURACY + 3.0 / n
-    edges = [min(1.0, max(0.0, p + s * margin)) for p in probs for s in (-1, 1)]
-    sketch = values.agg(
-        F.percentile_approx("v", F.array(*[F.lit(e) for e in edges]), SKETCH_ACCURACY).alias("e")
-    ).head()["e"]
-    brackets = [(sketch[2 * i], sketch[2 * i + 1]) for i in range(len(probs))]
-    below = values.agg(
-        *[F.count_if(F.col("v") < low).alias(f"b{i}") for i, (low, _) in enumerate(brackets)]
-    ).head()
-    inside = F.array_compact(
-        F.array(*[F.when(F.col("v").between(*b), F.lit(i)) for i, b in enumerate(brackets)])
-    )
-    runs = (
-        values.select("v", F.explode(inside).alias("i"))
-        .groupBy("i", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("upto", F.sum("c").over(W.partitionBy("i").orderBy("v")))
-    )
-
-    def at_rank(i: int, rank: int) -> Column:
-        upto = F.col("upto") + below[f"b{i}"]
-        hit = (F.col("i") == i) & (upto > rank) & (upto - F.col("c") <= rank)
-        return F.max(F.when(hit, F.col("v")))
-
     parts = []
-    for i, (p, name) in enumerate(zip(probs, names)):
+    for p, name in zip(probs, names):
         place = p * (n - 1)
-        floor = int(place)
-        low, high = at_rank(i, floor), at_rank(i, min(floor + 1, n - 1))
-        parts.append((low + (high - low) * (place - floor)).alias(name))
-    return runs.agg(F.lit(n).cast("bigint").alias("n"), *parts)
+        floor, ceiling = int(place), min(int(place) + 1, n - 1)
+        low, high, below = _bracket(values, floor, ceiling, n, max_rows)
+        runs = values.filter(F.col("v").between(low, high)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+        upto = F.sum("c").over(W.orderBy("v")) + below
+
+        def at_rank(rank: int) -> Column:
+            return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank), F.col("v")))
+
+        ranked = runs.withColumn("upto", upto).agg(at_rank(floor).alias("a"), at_rank(ceiling).alias("b"))
+        value = F.col("a") + (F.col("b") - F.col("a")) * (place - floor)
+        parts.append(ranked.select(value.alias(name), F.lit(1).alias("_one")))
+    counted = df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("n"), F.lit(1).alias("_one"))
+    return reduce(lambda x, y: x.join(y, "_one"), parts, counted).drop("_one")
+
+
+def _bracket(values: DataFrame, floor: int, ceiling: int, n: int, most: int) -> tuple[float, float, int]:
+    """Two values with both ranks between them, and how many values lie below.
+
+    Sketches of ever fewer values narrow the bracket until it holds ``most`` values at
+    most or a sketch cannot part them, as with many equal ones. The counts say whether a
+    sketch has missed a rank; then it is tried with a wider margin.
+    """
+    whole = values.agg(F.min("v").alias("a"), F.max("v").alias("b")).head()
+    low, high, below, inside = whole["a"], whole["b"], 0, n
+    margin = 10.0 / SKETCH_ACCURACY
+    while inside > most:
+        edges = [max(0.0, (floor - below) / inside - margin), min(1.0, (ceiling + 1 - below) / inside + margin)]
+        held = values.filter(F.col("v").between(low, high))
+        e = held.agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in edges]), SKETCH_ACCURACY).alias("e")).head()["e"]
+        found = values.agg(
+            F.count_if(F.col("v") < e[0]).alias("below"), F.count_if(F.col("v").between(*e)).alias("inside")
+        ).head()
+        if not found["below"] <= floor <= ceiling < found["below"] + found["inside"]:
+            margin *= 4
+            continue
+        if found["inside"] >= inside:
+            break
+        low, high, below, inside = e[0], e[1], found["below"], found["inside"]
+    return low, high, below
 
 
 def moments(column: str) -> list[Column]:
@@ -177,7 +189,7 @@ def coverage_aggregates(cols: Columns = DEFAULT, threshold: float = HIGH_CONFIDE
     total = F.count(F.lit(1))
     by_strategy = F.count_if(F.col(cols.strategy) != "none")
     by_code = F.count(cols.predicted)
-    high = F.count_if(F.col(cols.confidence) >= threshold)
+    high = F.count_if(scores.at_least(F.col(cols.confidence), threshold))
     return {
         "total": total,
         "classified_by_strategy": by_strategy,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ REVIEW_LIMIT = 20
 
 def review_filter(df: DataFrame, strategy: str | None = None, min_confidence: float = 0.0) -> DataFrame:
     kept = df if strategy in (None, "All") else df.filter(F.col("model_strategy") == strategy)
-    return kept.filter(F.col("confidence") >= min_confidence)
+    return kept.filter(scores.at_least(F.col("confidence"), min_confidence))
 
 
 def review_queue(
@@ -63,8 +65,17 @@ def category_options(df: DataFrame, taxonomy: DataFrame, order: str = "ingest_se
 
 
 def latest_corrections(corrections: DataFrame, order: str | None = None) -> DataFrame:
-    """One code per ticket: the last one written when there is an order."""
-    chosen = F.max_by("corrected_code", order) if order else F.max("corrected_code")
+    """One code per ticket: the last one in the given order.
+
+    Without an order a ticket with two different codes fails the job.
+    """
+    if order:
+        chosen = F.max_by("corrected_code", order)
+    else:
+        two = F.raise_error(F.concat(F.lit("corrections without an order name two codes for "), F.first("case_id")))
+        chosen = F.when(F.min("corrected_code") == F.max("corrected_code"), F.max("corrected_code")).when(
+            F.count("corrected_code") > 0, two.cast("string")
+        )
     return corrections.groupBy("case_id").agg(chosen.alias("corrected_code"))
 
 
@@ -102,9 +113,16 @@ def training_labels(df: DataFrame, decided_at: Column | None = None) -> DataFram
     return export.with_audit(kept, "ui_review", decided_at)
 
 
-def as_categories(tickets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Feed reviewed labels back as ``current_category`` for the next training."""
-    reviewed = labels.filter(F.col("predicted_code").isNotNull()).select(
+def as_categories(
+    tickets: DataFrame, labels: DataFrame, strategies: Sequence[str] | None = ("ui_corrected",)
+) -> DataFrame:
+    """Feed reviewed labels back as ``current_category`` for the next training.
+
+    Only rows a reviewer corrected count as truth unless other strategies are named;
+    None takes all.
+    """
+    chosen = F.lit(True) if strategies is None else F.col("model_strategy").isin(*strategies)
+    reviewed = labels.filter(F.col("predicted_code").isNotNull() & chosen).select(
         "case_id", F.col("predicted_code").alias("_reviewed")
     )
     had = F.col("current_category") if "current_category" in tickets.columns else F.lit(None)

@@ -12,6 +12,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,17 +44,66 @@ class Rule:
     rule_order: int = 0
 
 
+def _java_class(pattern: str, start: int) -> tuple[str, int]:
+    """The character class that opens at ``start``, and where it ends.
+
+    In a Java class a bracket opens a nested class and ``&&`` intersects; here both
+    are characters. A closing bracket at the front is one as well.
+    """
+    at, out = start + 1, "["
+    if pattern[at : at + 1] == "^":
+        at, out = at + 1, out + "^"
+    first = True
+    while at < len(pattern) and (first or pattern[at] != "]"):
+        if pattern[at] == "\\":
+            out, at = out + pattern[at : at + 2], at + 2
+        else:
+            out, at = out + ("\\" if pattern[at] in "[]&" else "") + pattern[at], at + 1
+        first = False
+    return out + "]", at + 1
+
+
+def _java_syntax(pattern: str) -> str:
+    """A Python pattern in Java's spelling.
+
+    Named groups and references to them, the end of the text, and characters that mean
+    more inside a Java class are written differently. Java's group names have neither
+    underscores nor a digit in front, so groups are renamed by position.
+    """
+    names: dict[str, str] = {}
+    out, at = "", 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        named = re.match(r"\(\?P<(\w+)>", pattern[at:])
+        again = re.match(r"\(\?P=(\w+)\)", pattern[at:])
+        if two == "\\Z":
+            out, at = out + "\\z", at + 2
+        elif two[:1] == "\\":
+            out, at = out + two, at + 2
+        elif two[:1] == "[":
+            inside, at = _java_class(pattern, at)
+            out += inside
+        elif named:
+            out += f"(?<{names.setdefault(named[1], f'g{len(names)}')}>"
+            at += named.end()
+        elif again:
+            out, at = out + f"\\k<{names.get(again[1], again[1])}>", at + again.end()
+        else:
+            out, at = out + pattern[at], at + 1
+    return out
+
+
 def java_pattern(rule: Rule) -> str:
-    """The rule's pattern with Python's meaning of ``.``, ``\\w`` and letter case."""
+    """The rule's pattern with Python's meaning of ``.``, ``\\w``, letter case and syntax."""
     flags = "(?dU)" if rule.case_sensitive else "(?diU)"
-    return flags + rule.pattern.replace("(?P<", "(?<")
+    return flags + _java_syntax(rule.pattern)
 
 
 def is_valid(spark: SparkSession, rule: Rule) -> bool:
     try:
         re.compile(rule.pattern)
         spark._jvm.java.util.regex.Pattern.compile(java_pattern(rule))
-    except (re.error, Py4JJavaError) as error:
+    except (re.error, Py4JJavaError, PySparkException) as error:
         log.warning("Rule %s has an invalid pattern: %s", rule.rule_id, str(error).split("\n")[0])
         return False
     return True

@@ -24,6 +24,10 @@ SAMPLE_RULES = [
     R.Rule("K09", r"nicht.*(lichte|heitst)", "LANG.DE", "German wording", 0.80, rule_order=8),
     R.Rule("K10", r"(éaument|eauxque).*ment", "LANG.FR", "French wording", 0.66, rule_order=9),
     R.Rule("K11", r"thble.*tion", "WORDS.THBLE", "Frequent ending", 0.40, rule_order=10),
+    # One that Java refuses, one with names, a reference and the text's end, one with a bracket in a class.
+    R.Rule("K12", r"(edshat)?(?(1) zz| qq)", "OFF.JAVA", "Not for Java", 0.99, rule_order=11),
+    R.Rule("K13", r"thanedble (?P<the_word>the) (?:anea|oron)(?:[^a-z]|(?P=the_word)\Z)", "WORDS.NAMED", "Named group", 0.30, rule_order=12),
+    R.Rule("K14", r"[[|] edshat", "WORDS.BRACKET", "Bracket in a class", 0.20, rule_order=13),
 ]
 
 # A taxonomy that renames one code in use and adds one that is not.

@@ -70,7 +70,7 @@ def discover(
 ) -> tuple[DataFrame, DataFrame]:
     """Topic assignment and the one-row topic report."""
     cluster = clusterer or (
-        lambda v: clusters.kmeans_topics(v, min_cluster_size=config.min_cluster_size)
+        lambda v: clusters.topics_by_density(v, config.min_cluster_size)
     )
     # Every table of the report reads the assignment, so the model runs once.
     assigned = stored(cluster(vectors).join(tickets.select("case_id", order), "case_id"), "topics")
@@ -80,14 +80,14 @@ def discover(
         topics.topic_keywords(corpus, extra_stop_words=config.extra_stop_words),
         topics.topic_exemplars(assigned, order=order),
     )
-    method = "kmeans" if clusterer is None else getattr(clusterer, "__name__", "custom")
+    method = "density" if clusterer is None else getattr(clusterer, "__name__", "custom")
     return assigned, topics.topic_report(assigned, table, config.min_cluster_size, method)
 
 
 def export_with_evaluation(classified: DataFrame, name: str, config: Config) -> dict[str, str | None]:
     """Labels as CSV and Parquet, the summary, then the evaluation.
 
-    A failing evaluation is reported; the labels stay.
+    A failing evaluation is named under ``failed_stage``; the labels stay.
     """
     base = f"{config.reports_dir}/{name}"
     labels = export.clean_labels(classified)
@@ -105,6 +105,7 @@ def export_with_evaluation(classified: DataFrame, name: str, config: Config) ->
         )
     except Exception as error:  # the labels are already written
         log.warning("Evaluation failed: %s", error)
+        paths["failed_stage"] = "evaluation"
     return paths
 
 
@@ -127,14 +128,16 @@ def run_pipeline(
     embedder: Embedder | None = tfidf_embedder,
     clusterer: Clusterer | None = None,
     strict: bool = True,
+    multiline: bool = True,
 ) -> dict[str, str | None]:
     """Prepare, ingest, redact, label, embed, discover, classify, export.
 
     ``raw`` is a table or a CSV path. Without an embedder there are no vectors, so
-    topics and the trained model are left out and the rules decide alone.
+    topics and the trained model are left out and the rules decide alone. Turn
+    ``multiline`` off to read large CSV files in parts; their fields then hold no line break.
     """
     if isinstance(raw, str):
-        raw = readers.read_tickets_csv(spark, raw)
+        raw = readers.read_tickets_csv(spark, raw, multiline)
     paths: dict[str, str | None] = {}
 
     staged = f"{config.warehouse_dir}/{name}_staged.parquet"

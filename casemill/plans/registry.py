@@ -69,12 +69,18 @@ _C = """c AS (
          l_tax * 10 AS confidence, 'S' || l_suppkey AS supplier
   FROM lineitem)"""
 
-_ACTIVE = [r for r in A.SAMPLE_RULES if r.enabled and r.rule_id != "K07"]
+# Refused by Python, and by Java.
+_UNUSABLE = ("K07", "K12")
+_ACTIVE = [r for r in A.SAMPLE_RULES if r.enabled and r.rule_id not in _UNUSABLE]
+
+# What SQL's dialect says instead of a pattern that needs translating.
+_SQL_PATTERNS = {"K13": "thanedble the (anea|oron)[^a-z]", "K14": r"[\[|] edshat"}
 
 
 def _matches(rule: R.Rule, subject: str = "searched") -> str:
     option = "c" if rule.case_sensitive else "i"
-    return f"regexp_matches({subject}, {_quoted(rule.pattern)}, '{option}')"
+    pattern = _SQL_PATTERNS.get(rule.rule_id, rule.pattern)
+    return f"regexp_matches({subject}, {_quoted(pattern)}, '{option}')"
 
 
 def _first(value: Callable[[R.Rule], str]) -> str:
@@ -280,9 +286,7 @@ def redact_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pii_leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = redact.redact(A.tickets(spark, sf_dir), ["description"])
-    before = redact.pii_counts(masked, ["description"]).withColumn("state", F.lit("before"))
-    after = redact.pii_counts(masked, ["description_redacted"]).withColumn("state", F.lit("after"))
-    return before.unionByName(after)
+    return redact.pii_counts_by(masked, {"before": ["description"], "after": ["description_redacted"]})
 
 
 def _phrase_masks() -> str:
@@ -368,7 +372,7 @@ def rules_verdict_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH " + _RULED + ", n AS (SELECT count(*) FILTER (WHERE rule_id IS NOT NULL) AS matched FROM k) "
     f"SELECT CAST({len(A.SAMPLE_RULES)} AS BIGINT) AS total_rules, "
     f"CAST({sum(r.enabled for r in A.SAMPLE_RULES)} AS BIGINT) AS enabled_rules, "
-    f"CAST({len(A.SAMPLE_RULES) - 1} AS BIGINT) AS valid_patterns, matched AS matched_tickets FROM n",
+    f"CAST({len(A.SAMPLE_RULES) - len(_UNUSABLE)} AS BIGINT) AS valid_patterns, matched AS matched_tickets FROM n",
 )
 def rules_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = R.verdict_rate(R.apply_rules(A.tickets(spark, sf_dir), A.SAMPLE_RULES))
@@ -792,7 +796,8 @@ def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     "review_feedback",
     f"""WITH {_CORRECTED}, old AS (SELECT 'D' || doc_id AS case_id, CAST(quality AS VARCHAR) AS category FROM labels)
     SELECT ck.case_id, coalesce(predicted_code, category) AS current_category
-    FROM ck LEFT JOIN old ON ck.case_id = old.case_id""",
+    FROM (SELECT case_id, CASE WHEN model_strategy = 'ui_corrected' THEN predicted_code END AS predicted_code FROM ck) ck
+    LEFT JOIN old ON ck.case_id = old.case_id""",
 )
 def review_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewed labels written, read back, and set as categories to train on."""
@@ -885,14 +890,12 @@ def topic_exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = A.texts(spark, sf_dir)
     with_text = A.assigned(spark, sf_dir).join(texts.select("case_id"), "case_id", "left_semi")
-    joined = topics.topic_corpus(topics.corpus_texts(with_text, texts))
+    joined = topics.topic_corpus(topics.corpus_texts(with_text, texts, topics.CORPUS_TEXTS))
     return joined.select("topic", "n_texts", F.md5(F.col("corpus").cast("binary")).alias("corpus_md5"))
 
 
 _KEYWORDS = f"""
-f AS (SELECT topic, ingest_seq, text FROM (
-        SELECT *, row_number() OVER (PARTITION BY topic ORDER BY ingest_seq) AS rn FROM src WHERE topic <> -1)
-      WHERE rn <= 50),
+f AS (SELECT topic, ingest_seq, text FROM src WHERE topic <> -1),
 w AS (SELECT topic, ingest_seq, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
         lambda t: NOT list_contains([{", ".join(_quoted(s) for s in stopwords.ENGLISH)}], t)) AS tokens FROM f
       WHERE topic IN (SELECT topic FROM f GROUP BY topic HAVING count(*) >= 3)),
@@ -1002,17 +1005,26 @@ def reduce_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.reduce_pca(A.vectors(spark, sf_dir))
 
 
-_SIDE = 0.1
+_SIDE = 0.35
+
+_TOUCH = " AND ".join(f"abs(a.cell[{i}] - b.cell[{i}]) <= 1" for i in range(1, 6)) + " AND a.cell <> b.cell"
+
+
+def _sign(axis: int, position: int) -> int:
+    """Walsh signs: five patterns that are orthogonal over 64 positions."""
+    return -1 if bin(position & (1, 2, 4, 8, 16)[axis]).count("1") % 2 else 1
 
-_TOUCH = " AND ".join(f"abs(a.cell[{i}] - b.cell[{i}]) <= 1" for i in (1, 2, 3)) + " AND a.cell <> b.cell"
+
+def _axis_sql(axis: int) -> str:
+    signs = ", ".join(str(_sign(axis, i)) for i in range(64))
+    terms = f"list_sum(list_transform(list_zip(embedding, [{signs}]), lambda p: CAST(p[1] AS DOUBLE) * p[2]))"
+    return f"CAST(floor(round({terms}, 9) / {_SIDE}) AS BIGINT)"
 
 
 @query(
     "topics_density",
     f"""WITH RECURSIVE p AS (
-      SELECT 'D' || vec_id AS case_id, [CAST(floor(CAST(embedding[1] AS DOUBLE) / {_SIDE}) AS INTEGER),
-             CAST(floor(CAST(embedding[2] AS DOUBLE) / {_SIDE}) AS INTEGER),
-             CAST(floor(CAST(embedding[3] AS DOUBLE) / {_SIDE}) AS INTEGER)] AS cell FROM embeddings),
+      SELECT 'D' || vec_id AS case_id, [{", ".join(_axis_sql(a) for a in range(5))}] AS cell FROM embeddings),
     n AS (SELECT cell, count(*) AS n FROM p GROUP BY cell),
     d AS (SELECT * FROM n WHERE n >= 5),
     reach(start, cell) AS (
@@ -1030,16 +1042,21 @@ _TOUCH = " AND ".join(f"abs(a.cell[{i}] - b.cell[{i}]) <= 1" for i in (1, 2, 3))
     FROM p LEFT JOIN l ON p.cell = l.cell LEFT JOIN z ON l.label = z.label""",
 )
 def topics_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Density over the first three axes as they are."""
-    axes = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
-    points = A.vectors(spark, sf_dir).select("case_id", axes.alias("point"))
-    return clusters.density_topics(points, _SIDE, 3)
+    """Density over five signed sums, each of all elements of a vector."""
+
+    def axis(a: int):
+        signed = F.zip_with(
+            "embedding", F.array(*[F.lit(_sign(a, i)) for i in range(64)]), lambda x, s: x.cast("double") * s
+        )
+        return F.round(F.aggregate(signed, F.lit(0.0), lambda t, x: t + x), 9)
+
+    points = A.vectors(spark, sf_dir).select("case_id", F.array(*[axis(a) for a in range(5)]).alias("point"))
+    return clusters.density_topics(points, _SIDE, 5)
 
 
 @query("topics_density_reduced")
 def topics_density_reduced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = clusters.reduce_pca(A.vectors(spark, sf_dir), 3)
-    return clusters.density_topics(points, clusters.typical_side(points, 3), 3)
+    return clusters.topics_by_density(A.vectors(spark, sf_dir))
 
 
 # --- Learning ---------------------------------------------------------------------
@@ -1185,6 +1202,6 @@ def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def full_run_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through every stage, with vectors, topics and a trained model."""
     config = Config().under(scratch_path(spark, "run"))
-    raw = A.labelled_tickets(spark, sf_dir).drop("ingest_seq")
+    raw = A.labelled_tickets(spark, sf_dir)
     paths = pipeline.run_pipeline(spark, raw, "documents", config, A.SAMPLE_RULES)
     return spark.read.parquet(paths["parquet_path"])

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-# A side of a join is broadcast only when it has at most this many narrow rows.
+# A side of a join is broadcast only when it has at most this many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+
+# Only an input below this size is dealt out anew to occupy the cores.
+SPREAD_BYTES = 256 << 20
 
 
 def build_session(app: str = "casemill", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,8 +36,7 @@ def build_session(app: str = "casemill", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a local session, where one machine runs everything, may fall back to a
-    folder of its own.
+    Where it names none, a folder in the warehouse, which all executors share too.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -40,9 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="casemill-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -83,20 +85,54 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a small input enough partitions to occupy the cluster.
 
     A file scan splits by bytes, so a few megabytes of text arrive as one task
-    however much work each row is. The shuffle is added only while the whole input
-    is smaller than one scan split per core; a larger one is returned as it is.
+    however much work each row is. The shuffle is added only below ``SPREAD_BYTES``,
+    whatever the cluster; a larger input is returned as it is.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if cores > 1 and plan_bytes(df) < cores * split:
+    if cores > 1 and plan_bytes(df) < min(SPREAD_BYTES, cores * _split_bytes(spark)):
         return df.repartition(cores, *keys)
     return df
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; counts no further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _split_bytes(spark: SparkSession) -> int:
+    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
+def _bytes_of(field: T.StructField) -> Column:
+    """About the bytes that a value takes."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 8
+    return F.lit(8)
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most that many rows and bytes; looks no further than that many rows."""
+    size = sum((_bytes_of(f) for f in df.schema.fields), F.lit(0))
+    held = df.limit(max_rows + 1).select(size.cast("bigint").alias("bytes"))
+    found = held.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).head()
+    return found["rows"] <= max_rows and found["bytes"] <= max_bytes
+
+
+def numbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
+    """Add 0, 1, ... in the given order, counted without one task that sorts all rows.
+
+    Rows are range-partitioned and written; each part counts for itself, and only the
+    parts' sizes, one row each, are summed up in order.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(
+        df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "numbered"
+    )
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(before, F.lit(0)).alias("_start")
+    )
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return dealt.join(starts, "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_start")
 
 
 def lookup(

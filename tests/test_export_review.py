@@ -133,7 +133,7 @@ def test_corrections(spark, decided, taxonomy):
     assert {r["decided_by"] for r in labels.collect()} == {"ui_review"}
     tickets = decided.select("case_id").withColumn("current_category", F.lit("old"))
     back = {r["case_id"]: r["current_category"] for r in review.as_categories(tickets, labels).collect()}
-    assert back == {"t1": "A", "t2": "Z", "t3": "A", "t4": "NEW"}
+    assert back == {"t1": "old", "t2": "Z", "t3": "old", "t4": "NEW"}
     fresh = review.as_categories(decided.select("case_id"), labels.filter("case_id = 't1'"))
     assert {r["case_id"]: r["current_category"] for r in fresh.collect()}["t4"] is None
 
@@ -152,3 +152,29 @@ def test_long_lookup_side_is_salted_not_broadcast(spark, decided):
 def test_sample_tickets(spark, decided):
     topics = spark.createDataFrame([(0, ["t1", "t2", "t3", "t4"])], "topic int, exemplar_case_ids array<string>")
     assert {r["case_id"] for r in review.sample_tickets(decided, topics).collect()} == {"t1", "t2", "t3"}
+
+
+def test_what_is_not_a_number_is_no_confidence(spark):
+    rows = spark.createDataFrame([("1", float("nan")), ("2", 0.9), ("3", 7.0)], "case_id string, confidence double")
+    cleaned = {r["case_id"]: r["confidence"] for r in export.clean_labels(rows).collect()}
+    assert cleaned == {"1": None, "2": 0.9, "3": 1.0}
+    assert {r["case_id"] for r in review.review_filter(rows, None, 0.5).collect()} == {"2", "3"}
+
+
+def test_two_codes_without_an_order_fail(spark):
+    rows = spark.createDataFrame([("1", "A"), ("1", "B"), ("2", "C"), ("2", "C")], "case_id string, corrected_code string")
+    fine = review.latest_corrections(rows.filter("case_id = '2'")).head()
+    assert fine["corrected_code"] == "C"
+    with pytest.raises(Exception, match="without an order"):
+        review.latest_corrections(rows).collect()
+
+
+def test_only_corrected_rows_become_truth(spark):
+    tickets = spark.createDataFrame([("1", "old"), ("2", "old")], "case_id string, current_category string")
+    labels = spark.createDataFrame(
+        [("1", "new", "ui_corrected"), ("2", "guess", "rules")], "case_id string, predicted_code string, model_strategy string"
+    )
+    back = {r["case_id"]: r["current_category"] for r in review.as_categories(tickets, labels).collect()}
+    assert back == {"1": "new", "2": "old"}
+    every = {r["case_id"]: r["current_category"] for r in review.as_categories(tickets, labels, None).collect()}
+    assert every == {"1": "new", "2": "guess"}

@@ -146,3 +146,31 @@ def test_rules_file_defaults(spark, tmp_path):
     assert (third.enabled, third.case_sensitive) == (False, True)
     assert readers.read_rules(spark, str(tmp_path / "absent.csv")) == []
     assert readers.rules_from_frame(R.rules_frame(spark, [first, second, third])) == [first, second, third]
+
+
+@pytest.mark.parametrize(
+    ("pattern", "text", "hit"),
+    [
+        (r"(?P<a_b>x.)-(?P=a_b)$", "say xy-xy", True),
+        (r"(?P<a_b>x.)-(?P=a_b)$", "say xy-xz", False),
+        (r"[[]urgent", "now [urgent]", True),
+        (r"[a&&b]z", "&z", True),
+        (r"[]]end", "x]end", True),
+        (r"[^]a]end", "aend", False),
+        (r"last\Z", "at last", True),
+        (r"last\Z", "at last\n", False),
+        (r"\[x", "a [x", True),
+    ],
+)
+def test_python_syntax_that_java_spells_otherwise(spark, pattern, text, hit):
+    df = spark.createDataFrame([("1", text)], "case_id string, subject string")
+    held = [R.Rule("R", pattern, "C", "N", 1.0)]
+    assert bool(re.search(pattern, text)) == hit
+    assert (R.apply_rules(df, held).head()["rule_id"] == "R") == hit
+
+
+def test_a_pattern_java_refuses_is_skipped(spark):
+    df = spark.createDataFrame([("1", "abc")], "case_id string, subject string")
+    held = [R.Rule("A", r"(x)?(?(1)y|a)", "A", "A", 1.0), R.Rule("B", "b", "B", "B", 1.0, rule_order=1)]
+    assert R.apply_rules(df, held).head()["rule_id"] == "B"
+    assert R.rule_stats(spark, held).head()["valid_patterns"] == 1

@@ -117,3 +117,25 @@ def test_composite_text_prefers_the_masked_column(spark):
 def test_inner_product(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0])], "a array<float>, b array<float>")
     assert df.select(V.inner_product(F.col("a"), F.col("b")).alias("d")).head()["d"] == 11.0
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """From another working folder, with the package known to the driver alone."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parent.parent
+    script = f"""
+import sys
+sys.path.insert(0, {str(repo)!r})
+from casemill.operators import similar
+from casemill.session import build_session
+spark = build_session("away", "local[2]", **{{"spark.ui.enabled": "false", "spark.checkpoint.dir": {str(tmp_path)!r}}})
+rows = [(f"c{{i}}", [float(i == j) for j in range(4)]) for i in range(4)]
+held = spark.createDataFrame(rows, "case_id string, embedding array<float>")
+asked = held.withColumnRenamed("case_id", "query_id")
+assert similar.nearest(held, asked, 1).count() == 4
+"""
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
