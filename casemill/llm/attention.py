@@ -22,7 +22,7 @@ import numpy as np
 WIDTH = 16
 OVERLAP = 4
 SIZE = 16
-CLASSES = 128
+CLASSES = 96
 BUCKETS = 4096
 OWN_BUCKETS = 3072
 
@@ -95,24 +95,27 @@ def _mask(r: np.ndarray) -> np.ndarray:
     return np.where(back >= 0, r[np.maximum(back, 0)], np.float32(-np.inf)).astype(np.float32)
 
 
-def _forward(table: np.ndarray, z: np.ndarray, mask: np.ndarray, bucket: np.ndarray, skip: int = 0):
-    """Attention weights, gathered values and class logits of windows (rows of ``bucket``)."""
+def _forward(table: np.ndarray, own: np.ndarray, z: np.ndarray, mask: np.ndarray, bucket: np.ndarray, skip: int = 0):
+    """Queries, keys and values, attention weights, gathered values, and class logits
+    behind the first ``skip`` places, of windows (rows of ``bucket``)."""
     got = table[bucket]
-    q, k, v = got[..., :SIZE], got[..., SIZE : 2 * SIZE], got[..., 2 * SIZE : 3 * SIZE]
+    q, k, v = got[..., :SIZE], got[..., SIZE : 2 * SIZE], got[..., 2 * SIZE :]
     a = np.matmul(q, k.transpose(0, 2, 1))
     a += mask
     np.exp(a, out=a)
     a *= 1 / a.sum(-1, keepdims=True)
     gathered = np.matmul(a, v)
-    logits = got[:, skip:, 3 * SIZE :] + gathered[:, skip:] @ z
-    return got, a, gathered, logits
+    late = bucket[:, skip:]
+    logits = np.matmul(gathered[:, skip:].reshape(-1, SIZE), z)
+    logits += own[late.ravel()]
+    return got, a, gathered, logits.reshape(*late.shape, -1)
 
 
-def joined(params: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One table of query (scaled), key, value and logits per bucket, the output matrix and the mask."""
+def joined(params: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A table of query (scaled), key and value per bucket, each bucket's logits, the output matrix and the mask."""
     scale = np.float32(SIZE**-0.5)
-    table = np.concatenate([params["q"] * scale, params["k"], params["v"], params["x"]], 1)
-    return np.ascontiguousarray(table), params["z"], _mask(params["r"])
+    table = np.concatenate([params["q"] * scale, params["k"], params["v"]], 1)
+    return np.ascontiguousarray(table), params["x"], params["z"], _mask(params["r"])
 
 
 def train(params: dict[str, np.ndarray], windows: Iterator[np.ndarray], vocab: Vocabulary, rate: float = 0.02):
@@ -125,15 +128,15 @@ def train(params: dict[str, np.ndarray], windows: Iterator[np.ndarray], vocab: V
         there = ids[:, 1:] >= 0
         safe = np.where(ids >= 0, ids, vocab.end)
         bucket, goal = vocab.bucket[safe[:, :-1]], vocab.kind[safe[:, 1:]]
-        table, z, mask = joined(params)
-        got, a, gathered, logits = _forward(table, z, mask, bucket)
+        table, own, z, mask = joined(params)
+        got, a, gathered, logits = _forward(table, own, z, mask, bucket)
         logits -= logits.max(-1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(-1, keepdims=True)
         d = p
         np.put_along_axis(d, goal[..., None], np.take_along_axis(d, goal[..., None], -1) - 1, -1)
         d *= there[..., None] / max(1, there.sum())
-        q, k, v = got[..., :SIZE], got[..., SIZE : 2 * SIZE], got[..., 2 * SIZE : 3 * SIZE]
+        q, k, v = got[..., :SIZE], got[..., SIZE : 2 * SIZE], got[..., 2 * SIZE :]
         d_gathered = d @ z.T
         d_a = np.matmul(d_gathered, v.transpose(0, 2, 1))
         d_s = a * (d_a - (d_a * a).sum(-1, keepdims=True))
@@ -161,9 +164,8 @@ def train(params: dict[str, np.ndarray], windows: Iterator[np.ndarray], vocab: V
     return params
 
 
-def score(sequences: list[np.ndarray], tables, vocab: Vocabulary, batch: int = 256) -> np.ndarray:
+def score(sequences: list[np.ndarray], tables, vocab: Vocabulary, batch: int = 128) -> np.ndarray:
     """log10 of the probability of each sequence of ids, its end included."""
-    table, z, mask = tables
     lengths = np.array([len(s) + 1 for s in sequences], np.int64)
     gap = np.array([vocab.end])
     row = np.concatenate([part for s in sequences for part in (gap, s)] + [gap] * (WIDTH + 1)) if sequences else gap
@@ -176,15 +178,16 @@ def score(sequences: list[np.ndarray], tables, vocab: Vocabulary, batch: int = 2
     bucket, kind, share = vocab.bucket[row], vocab.kind[row], vocab.share[row]
     # Each target's share of its class needs no window. The end of text d stands where d + 1 begins.
     out = np.add.reduceat(share[1 : lengths.sum() + 1], first) if len(lengths) else np.zeros(0)
-    heads = np.flatnonzero(nth == 0)
+    heads, ones = np.flatnonzero(nth == 0), np.ones(CLASSES, np.float32)
     for some, skip in ((heads, 0), (np.flatnonzero(nth > 0), OVERLAP)):
         for b in range(0, len(some), batch):
             part = some[b : b + batch]
             at = begin[part][:, None] + np.arange(WIDTH)
-            logits = _forward(table, z, mask, bucket[at], skip)[3]
-            chosen = np.take_along_axis(logits, kind[at[:, skip:] + 1][..., None], -1)[..., 0]
-            total = np.log(np.exp(logits).sum(-1))
+            logits = _forward(*tables, bucket[at], skip)[3].reshape(-1, CLASSES)
+            chosen = logits[np.arange(len(logits)), kind[at[:, skip:].ravel() + 1]]
+            np.exp(logits, out=logits)
+            gain = (chosen - np.log(np.matmul(logits, ones))).reshape(len(part), -1)
             valid = np.arange(skip, WIDTH)[None, :] < left[part][:, None]
-            gained = np.where(valid, chosen - total, 0).sum(1, dtype=np.float64)
+            gained = np.where(valid, gain, 0).sum(1, dtype=np.float64)
             out += np.bincount(doc[part], weights=gained, minlength=len(out)) / np.log(10)
     return out

@@ -47,7 +47,7 @@ MOST_BUCKETS = 4096
 MERGE_WORDS = 2_000_000
 SLICES = 64
 
-_TO_WORDS = {**{c: " " for c in X.WHITE}, **{c: chr(c + 32) for c in range(65, 91)}}
+_TO_WORDS = bytes(32 if c in X.WHITE else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def held_out(id_col: str, folds: int = 7, which: int = 2) -> Column:
@@ -63,12 +63,12 @@ def _bucket_bits(size: int) -> int:
 
 def _windows(ids: np.ndarray, end: int, rounds: int, seed: int) -> np.ndarray:
     """``rounds`` runs of WIDTH + 1 ids from a text with the end before and behind it; -1 fills up."""
-    row = np.concatenate(([end], ids, [end]))
-    width = attention.WIDTH + 1
+    row, width = np.full(len(ids) + 2, end, np.int32), attention.WIDTH + 1
+    row[1:-1] = ids
     out = np.full((rounds, width), -1, np.int32)
     spots = max(1, len(row) - width + 1)
     for r in range(rounds):
-        at = int(X.mix(np.array([seed * 31 + r], np.uint64))[0] % np.uint64(spots))
+        at = ((seed * 31 + r + 1) * 0x9E3779B97F4A7C15 >> 17) % spots
         piece = row[at : at + width]
         out[r, : len(piece)] = piece
     return out
@@ -133,7 +133,8 @@ def _chunk(slab, chunk, e, end, bits, rounds) -> Iterator[pa.RecordBatch]:
     begin = w.first[:-1][w.per_doc > 0]
     steps[begin] = place[order][begin]
     places = np.split(steps.astype(np.uint32), w.first[1:-1]) if size else []
-    ids = [e.encode_words([x for x in (t or "").translate(_TO_WORDS).split(" ") if x]) for t in slab.column("t").to_pylist()]
+    lowered = (b.translate(_TO_WORDS).decode() for b in slab.column("t").fill_null("").cast(pa.binary()).to_pylist())
+    ids = [e.encode_words([x for x in t.split(" ") if x]) for t in lowered]
     windows = [
         _windows(np.frombuffer(b, e.dtype).astype(np.int32), end, rounds * PER_TEXT, chunk + i).tobytes() if train[i] else None
         for i, b in enumerate(ids)
