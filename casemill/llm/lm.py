@@ -146,7 +146,7 @@ def _chunk(slab, chunk, e, end, bits, rounds) -> Iterator[pa.RecordBatch]:
     })
     bucket = (known >> np.uint64(64 - bits)).astype(np.int64)
     there, first = np.unique(bucket, return_index=True)
-    parts = list(zip(first.tolist(), [*first[1:].tolist(), len(known)], strict=True))
+    parts = list(zip(first.tolist(), [*first[1:].tolist(), len(known)], strict=False))
     yield _record(len(there), {
         "kind": ["words"] * len(there), "chunk": [chunk] * len(there), "bucket": there.astype(np.int32),
         "words": [known[a:b].tobytes() for a, b in parts], "counts": [counts[a:b].tobytes() for a, b in parts],
