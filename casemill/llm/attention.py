@@ -38,6 +38,11 @@ class Vocabulary(NamedTuple):
     share: np.ndarray
     end: int
 
+    @property
+    def kinds(self) -> int:
+        """Classes in use; fewer than ``CLASSES`` only for a tiny vocabulary."""
+        return int(self.kind.max()) + 1
+
 
 def vocabulary(counts: np.ndarray) -> Vocabulary:
     """From the corpus counts of all ids; the last id is the end of a text."""
@@ -45,9 +50,13 @@ def vocabulary(counts: np.ndarray) -> Vocabulary:
     rank = np.empty(len(counts), np.int64)
     rank[order] = np.arange(len(counts))
     smooth = counts + 0.5
-    mass = np.cumsum(smooth[order]) - smooth[order] / 2
     kind = np.empty(len(counts), np.int64)
-    kind[order] = np.minimum(CLASSES - 1, (mass * CLASSES / smooth.sum()).astype(np.int64))
+    # From the most frequent id on, a class is full with its part of the mass that is left.
+    now, held, left = 0, 0.0, float(smooth.sum())
+    for i, mass in zip(order.tolist(), smooth[order].tolist(), strict=True):
+        if now < CLASSES - 1 and held and held >= left / (CLASSES - now):
+            left, held, now = left - held, 0.0, now + 1
+        kind[i], held = now, held + mass
     share = np.log10(smooth / np.bincount(kind, weights=smooth, minlength=CLASSES)[kind])
     bucket = np.where(rank < OWN_BUCKETS, rank, OWN_BUCKETS + np.arange(len(counts)) % (BUCKETS - OWN_BUCKETS))
     return Vocabulary(kind, bucket.astype(np.int32), share, len(counts) - 1)
@@ -111,11 +120,13 @@ def _forward(table: np.ndarray, own: np.ndarray, z: np.ndarray, mask: np.ndarray
     return got, a, gathered, logits.reshape(*late.shape, -1)
 
 
-def joined(params: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A table of query (scaled), key and value per bucket, each bucket's logits, the output matrix and the mask."""
+def joined(params: dict[str, np.ndarray], kinds: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A table of query (scaled), key and value per bucket, each bucket's logits for the
+    first ``kinds`` classes, their output matrix and the mask."""
     scale = np.float32(SIZE**-0.5)
     table = np.concatenate([params["q"] * scale, params["k"], params["v"]], 1)
-    return np.ascontiguousarray(table), params["x"], params["z"], _mask(params["r"])
+    x, z = (np.ascontiguousarray(params[name][:, :kinds]) for name in "xz")
+    return np.ascontiguousarray(table), x, z, _mask(params["r"])
 
 
 def train(params: dict[str, np.ndarray], windows: Iterator[np.ndarray], vocab: Vocabulary, rate: float = 0.02):
@@ -130,6 +141,7 @@ def train(params: dict[str, np.ndarray], windows: Iterator[np.ndarray], vocab: V
         bucket, goal = vocab.bucket[safe[:, :-1]], vocab.kind[safe[:, 1:]]
         table, own, z, mask = joined(params)
         got, a, gathered, logits = _forward(table, own, z, mask, bucket)
+        logits[..., vocab.kinds :] = -np.inf
         logits -= logits.max(-1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(-1, keepdims=True)
@@ -178,12 +190,12 @@ def score(sequences: list[np.ndarray], tables, vocab: Vocabulary, batch: int = 1
     bucket, kind, share = vocab.bucket[row], vocab.kind[row], vocab.share[row]
     # Each target's share of its class needs no window. The end of text d stands where d + 1 begins.
     out = np.add.reduceat(share[1 : lengths.sum() + 1], first) if len(lengths) else np.zeros(0)
-    heads, ones = np.flatnonzero(nth == 0), np.ones(CLASSES, np.float32)
+    heads, ones = np.flatnonzero(nth == 0), np.ones(vocab.kinds, np.float32)
     for some, skip in ((heads, 0), (np.flatnonzero(nth > 0), OVERLAP)):
         for b in range(0, len(some), batch):
             part = some[b : b + batch]
             at = begin[part][:, None] + np.arange(WIDTH)
-            logits = _forward(*tables, bucket[at], skip)[3].reshape(-1, CLASSES)
+            logits = _forward(*tables, bucket[at], skip)[3].reshape(-1, vocab.kinds)
             chosen = logits[np.arange(len(logits)), kind[at[:, skip:].ravel() + 1]]
             np.exp(logits, out=logits)
             gain = (chosen - np.log(np.matmul(logits, ones))).reshape(len(part), -1)

@@ -99,8 +99,8 @@ def prepare(
     folder = scratch_path(spark, "lm")
     written = source.mapInArrow(split, _ROW)
     written.write.partitionBy("kind").option("compression", "zstd").parquet(folder)
-    rows = spark.read.schema(_ROW.replace("kind string, ", "")).parquet
-    return rows(f"{folder}/kind=text"), rows(f"{folder}/kind=words"), end, bits
+    rows = spark.read.schema(_ROW).parquet(folder)
+    return rows.filter("kind = 'text'"), rows.filter("kind = 'words'"), end, bits
 
 
 _ROW = (
@@ -380,7 +380,7 @@ def fit(texts: DataFrame, vocab: attention.Vocabulary, rounds: int = ROUNDS, bat
 
 def attention_scores(texts: DataFrame, params, vocab: attention.Vocabulary) -> DataFrame:
     """chunk, n, k, train, n_words and score of every text."""
-    held = texts.sparkSession.sparkContext.broadcast((attention.joined(params), tuple(vocab)))
+    held = texts.sparkSession.sparkContext.broadcast((attention.joined(params, vocab.kinds), tuple(vocab)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, v = held.value
