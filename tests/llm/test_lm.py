@@ -49,7 +49,7 @@ def small():
 
 def test_probabilities_sum_to_one(small):
     texts, vocab = small
-    tables = A.joined(A.start(np.random.default_rng(1).integers(0, 9, A.BUCKETS * A.CLASSES)))
+    tables = A.joined(A.start(np.random.default_rng(1).integers(0, 9, A.BUCKETS * A.CLASSES)), vocab.kinds)
     begin = [5, 6, 7]
     logits = A._forward(*tables, vocab.bucket[np.array([[vocab.end, *begin] + [vocab.end] * (A.WIDTH - 4)])])[3][0, 3]
     p_class = np.exp(logits - logits.max())
@@ -59,7 +59,7 @@ def test_probabilities_sum_to_one(small):
 
 def test_windows_score_every_token_once(small):
     texts, vocab = small
-    tables = A.joined(A.start())
+    tables = A.joined(A.start(), vocab.kinds)
     found = A.score(texts, tables, vocab)
     for text, s in zip(texts[:40], found, strict=False):
         row = np.concatenate(([vocab.end], text, [vocab.end]))
@@ -89,6 +89,6 @@ def test_attention_is_causal(small):
 def test_training_lowers_the_loss(small):
     texts, vocab = small
     windows = [np.concatenate([lm._windows(t.astype(np.int32), 40, 2, i) for i, t in enumerate(texts)])] * 60
-    before = A.score(texts, A.joined(A.start()), vocab).sum()
-    after = A.score(texts, A.joined(A.unflat(A.flat(A.train(A.start(), iter(windows), vocab)))), vocab).sum()
+    before = A.score(texts, A.joined(A.start(), vocab.kinds), vocab).sum()
+    after = A.score(texts, A.joined(A.unflat(A.flat(A.train(A.start(), iter(windows), vocab))), vocab.kinds), vocab).sum()
     assert after > 0.6 * before

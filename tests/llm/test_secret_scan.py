@@ -43,9 +43,9 @@ def test_features_of_the_place():
     pairs, known = np.zeros((27, 27)), frozenset({"river", "stone"})
     value = "riverstone/0123456789"
     one = S.describe(f"see http://x/{value}", 13, value, pairs, known)
-    assert one[0] == len(value) and one[7] == 10 / len(value)
+    assert one[0] == len(value) and one[8] == 10 / len(value)
     assert S._covered("xxriverx", known) == 5 / 8
-    assert len(one) == len(S.describe(value, 0, value, pairs, known)) == 18 + 2 * S.HASHED
+    assert len(one) == len(S.describe(value, 0, value, pairs, known)) == 19 + 2 * S.HASHED
 
 
 def test_odd_rows_and_labels(spark):
