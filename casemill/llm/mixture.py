@@ -95,8 +95,7 @@ def taken(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_times: int =
         .join(goal, "_group")
         .select("_group", "_fine", (F.col("a") + F.col("b")).alias("_start"), "source_size", "target")
     )
-    order = ["hash", *(c for c in rows.columns if c == "_row")]
-    inside = Window.partitionBy("_group", "_fine").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_group", "_fine").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(starts, ["_group", "_fine"]).withColumn("_at", F.col("_start") + F.col("_inside"))
     budget = F.floor("target")
@@ -107,15 +106,17 @@ def taken(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_times: int =
     return placed.withColumn("taken", amount).drop("_group", "_fine", "_inside", "_start", "_at")
 
 
-def keyed(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", more: tuple[str, ...] = ()
-) -> DataFrame:
-    """Narrow rows of ``docs``: _id, source, size and hash (of id, source and text)."""
+def _hash(id_col: str, text_col: str, source_col: str) -> Column:
     parts = [F.col(id_col).cast("string"), F.col(source_col).cast("string"), F.md5(F.col(text_col))]
     known = [F.coalesce(F.concat(F.lit("="), p), F.lit("-")) for p in parts]
+    return F.md5(F.concat_ws(" ", F.lit("mix"), *known))
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Narrow rows of ``docs``: _id, source, size and hash (of id, source and text)."""
     return docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col)).alias("size"),
-        F.md5(F.concat_ws(" ", F.lit("mix"), *known)).alias("hash"), *more,
+        _hash(id_col, text_col, source_col).alias("hash"),
     )
 
 
@@ -131,12 +132,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Texts are not cut: the one document of a source that its budget divides comes once
     more if at least half of it is taken, so a source is off by half a document at most.
     """
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows = taken(stored(keyed(numbered, id_col, text_col, source_col, ("_row",)), "sizes"))
+    hashed = docs.withColumn("_mix", _hash(id_col, text_col, source_col))
+    rows = taken(stored(keyed(docs, id_col, text_col, source_col), "sizes"))
     twice = 2 * F.col("size")
     times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / twice)).otherwise(F.lit(0))
-    chosen = stored(rows.select("_row", times.cast("int").alias("_times")).filter("_times > 0"), "times")
-    # Row numbers are unique, so the join needs no salt beyond the broadcast bound.
-    found = lookup(numbered, chosen, ["_row"], "inner", salts=1)
-    repeated = found.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    counted = rows.groupBy(F.col("hash").alias("_mix")).agg(F.sum(times).cast("int").alias("_times"), F.count("*").alias("_rows"))
+    chosen = stored(counted.filter("_times > 0"), "times")
+    # Hashes of single rows are unique, so the join needs no salt beyond the broadcast bound.
+    found = lookup(hashed, chosen.filter("_rows = 1"), ["_mix"], "inner", salts=1)
+    several = chosen.filter("_rows > 1")
+    if not several.isEmpty():
+        # Equal rows are one document; it comes as often as all of them together.
+        found = found.unionByName(lookup(hashed, several, ["_mix"], "inner").dropDuplicates(["_mix"]))
+    repeated = found.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     return repeated.select(*[f"`{c}`" for c in docs.columns])
