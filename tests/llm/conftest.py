@@ -1,0 +1,8 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def tokenizer():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")

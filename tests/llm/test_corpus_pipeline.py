@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
@@ -10,6 +11,11 @@ import corpus_pipeline
 from casemill.llm import mixture
 from casemill.session import scratch_path
 
+@pytest.fixture(scope="module")
+def tokenizer():
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 
 def rows():
     rng = random.Random(4)

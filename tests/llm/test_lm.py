@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 from casemill.llm import attention as A
@@ -11,6 +12,11 @@ from casemill.llm import lm
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+@pytest.fixture(scope="module")
+def tokenizer():
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 
 def test_unigram_equals_brute_force(spark, tokenizer):
     texts = [f"The w{i % 7} and\tthe É{i % 3} w{i}" for i in range(60)] + ["", None, "a  b ", "x" * 3000, "the the THE"]

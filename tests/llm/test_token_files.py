@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
@@ -14,6 +15,11 @@ TEXTS = [
     "a.\nB c.\n\nD", "\na", "a\n", "x\n\ty z", "a\r\nb c", "1a2b c3\n4 ٣٤ 5½", "a\n'b c'd\n's", "word " * 2000, "z" * 9000,
 ]
 
+@pytest.fixture(scope="module")
+def tokenizer():
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 
 @pytest.fixture(scope="module")
 def plain(tokenizer):
