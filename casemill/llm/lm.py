@@ -46,6 +46,8 @@ BUCKET_BYTES = 8_000_000
 MOST_BUCKETS = 4096
 MERGE_WORDS = 2_000_000
 SLICES = 64
+#: Tasks that give whole arrays of counts or weights, so that their sum is bounded work.
+MOST_TASKS = 1024
 
 _TO_WORDS = bytes(32 if c in X.WHITE else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -284,7 +286,8 @@ def id_counts(texts: DataFrame, end: int) -> np.ndarray:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["id", "n"])
 
-    rows = texts.filter("train").select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    seen = texts.filter("train").select("ids").coalesce(MOST_TASKS)
+    rows = seen.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     out = np.zeros(end + 1, np.int64)
     for r in rows.toLocalIterator():
         out[r["id"]] = r["n"]
@@ -338,7 +341,7 @@ def pair_counts(texts: DataFrame, vocab: attention.Vocabulary) -> np.ndarray:
                 total += attention.pairs(np.concatenate([x for r in rows for x in (gap, r)] + [gap]), v)
         yield _slices(total, 1)
 
-    return _summed(texts.filter("train").select("ids").mapInArrow(count, _SLICE))[0]
+    return _summed(texts.filter("train").select("ids").coalesce(MOST_TASKS).mapInArrow(count, _SLICE))[0]
 
 
 def fit(texts: DataFrame, vocab: attention.Vocabulary, rounds: int = ROUNDS, batch_rows: int = TRAIN_BATCH):
@@ -346,7 +349,7 @@ def fit(texts: DataFrame, vocab: attention.Vocabulary, rounds: int = ROUNDS, bat
     spark = texts.sparkSession
     width = attention.WIDTH + 1
     params = attention.start(pair_counts(texts, vocab))
-    seen = texts.filter("train").select("windows")
+    seen = texts.filter("train").select("windows").coalesce(MOST_TASKS)
     for r in range(rounds):
         held = spark.sparkContext.broadcast((params, tuple(vocab)))
 
