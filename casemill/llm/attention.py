@@ -22,7 +22,7 @@ import numpy as np
 WIDTH = 16
 OVERLAP = 4
 SIZE = 16
-CLASSES = 96
+CLASSES = 128
 BUCKETS = 4096
 OWN_BUCKETS = 3072
 

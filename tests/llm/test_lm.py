@@ -98,3 +98,8 @@ def test_training_lowers_the_loss(small):
     before = A.score(texts, A.joined(A.start(), vocab.kinds), vocab).sum()
     after = A.score(texts, A.joined(A.unflat(A.flat(A.train(A.start(), iter(windows), vocab))), vocab.kinds), vocab).sum()
     assert after > 0.6 * before
+
+
+def test_classes_of_a_large_vocabulary():
+    vocab = A.vocabulary(np.ones(5000, np.int64))
+    assert vocab.kinds == A.CLASSES == 128
