@@ -143,11 +143,10 @@ def train(params: dict[str, np.ndarray], windows: Iterator[np.ndarray], vocab: V
         got, a, gathered, logits = _forward(table, own, z, mask, bucket)
         logits[..., vocab.kinds :] = -np.inf
         logits -= logits.max(-1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(-1, keepdims=True)
-        d = p
-        np.put_along_axis(d, goal[..., None], np.take_along_axis(d, goal[..., None], -1) - 1, -1)
-        d *= there[..., None] / max(1, there.sum())
+        d = np.exp(logits, out=logits)
+        d *= 1 / d.sum(-1, keepdims=True)
+        d.reshape(-1, CLASSES)[np.arange(goal.size), goal.ravel()] -= 1
+        d *= (there[..., None] / max(1, there.sum())).astype(np.float32)
         q, k, v = got[..., :SIZE], got[..., SIZE : 2 * SIZE], got[..., 2 * SIZE :]
         d_gathered = d @ z.T
         d_a = np.matmul(d_gathered, v.transpose(0, 2, 1))
@@ -156,7 +155,9 @@ def train(params: dict[str, np.ndarray], windows: Iterator[np.ndarray], vocab: V
             [np.matmul(d_s, k) * scale, np.matmul(d_s.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), d_gathered), d], -1
         )
         d_table = np.zeros((BUCKETS, d_in.shape[-1]), np.float32)
-        np.add.at(d_table, bucket.ravel(), d_in.reshape(-1, d_in.shape[-1]))
+        order = np.argsort(bucket.ravel(), kind="stable")
+        used, begin = np.unique(bucket.ravel()[order], return_index=True)
+        d_table[used] = np.add.reduceat(d_in.reshape(-1, d_in.shape[-1])[order], begin)
         back = np.arange(WIDTH)[:, None] - np.arange(WIDTH)[None, :]
         both = d_s.sum(0)
         grads = {
@@ -168,10 +169,17 @@ def train(params: dict[str, np.ndarray], windows: Iterator[np.ndarray], vocab: V
         fade = rate * np.float32(np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
         for name, g in grads.items():
             g = g.astype(np.float32)
-            first[name] += np.float32(0.1) * (g - first[name])
-            g *= g
-            second[name] += np.float32(0.01) * (g - second[name])
-            params[name] -= fade * first[name] / (np.sqrt(second[name]) + np.float32(1e-8))
+            first[name] *= np.float32(0.9)
+            first[name] += np.float32(0.1) * g
+            np.square(g, out=g)
+            g *= np.float32(0.01)
+            second[name] *= np.float32(0.99)
+            second[name] += g
+            np.sqrt(second[name], out=g)
+            g += np.float32(1e-8)
+            np.divide(first[name], g, out=g)
+            g *= fade
+            params[name] -= g
             np.clip(params[name], -_BOUND[name], _BOUND[name], out=params[name])
     return params
 

@@ -11,14 +11,16 @@ where every text's sum is taken.
 
 *Attention* (``attention``). The same pass keeps each text's subword ids. Counts of all
 training ids give classes and shares, counts of what class follows which id give the
-network's first logits; it is then trained in rounds on ``PER_TEXT`` windows of every
-training text per round, in each task for itself from the same start, after which the
-tasks' weights are averaged. Scoring runs over every text whole, without a shuffle.
+network's first logits; it is then trained in rounds, each over windows that tile every
+training text, so that every id of it is a target once a round. Tasks train for
+themselves from the same start, after which their weights are averaged. Scoring runs over
+every text whole, without a shuffle.
 
 What the corpus gives (counts of words, ids and pairs, training windows) comes from every
 training row and grows with the input; the weights have a fixed size. Averages are sums
 of floating-point numbers in no fixed order, so attention scores of two runs may differ
-in their last digits. Words with equal 64-bit hashes count as one.
+in their last digits. Where a text is cut follows from its ids and the round; which texts
+train together follows the partitions of the input. Words with equal 64-bit hashes count as one.
 
 Null texts are empty: their one token is the end. Null ids belong to the training rows.
 Rows that share an id are scored each. Extra columns are not read. An empty table gives
@@ -27,6 +29,7 @@ no rows; without training rows every count is 0.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,6 @@ from casemill.llm import texts as X
 from casemill.session import plan_bytes, scratch_path
 
 ROUNDS = 2
-PER_TEXT = 2
 TRAIN_BATCH = 256
 RATE = 0.01
 BUCKET_BYTES = 8_000_000
@@ -63,21 +65,23 @@ def _bucket_bits(size: int) -> int:
     return bits
 
 
-def _windows(ids: np.ndarray, end: int, rounds: int, seed: int) -> np.ndarray:
-    """``rounds`` runs of WIDTH + 1 ids from a text with the end before and behind it; -1 fills up."""
-    row, width = np.full(len(ids) + 2, end, np.int32), attention.WIDTH + 1
+def _windows(ids: np.ndarray, end: int, which: int, seed: int) -> np.ndarray:
+    """Runs of WIDTH + 1 ids that tile a text with the end before and behind it; -1 fills up.
+
+    Every id, and the end behind, is a target once; ``seed`` and the round ``which`` give
+    the length of the first run, so that rounds cut at other places.
+    """
+    width, last = attention.WIDTH, len(ids) + 1
+    row = np.full(last + 1, end, np.int32)
     row[1:-1] = ids
-    out = np.full((rounds, width), -1, np.int32)
-    spots = max(1, len(row) - width + 1)
-    for r in range(rounds):
-        at = ((seed * 31 + r + 1) * 0x9E3779B97F4A7C15 >> 17) % spots
-        piece = row[at : at + width]
-        out[r, : len(piece)] = piece
-    return out
+    first = 1 + ((seed * 31 + which + 1) * 0x9E3779B97F4A7C15 >> 17) % width
+    begin = np.append(0, np.arange(first, last, width))
+    at = begin[:, None] + np.arange(width + 1)
+    return np.where(at <= np.append(begin[1:], last)[:, None], row[np.minimum(at, last)], np.int32(-1))
 
 
 def prepare(
-    docs: DataFrame, train: Column, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS
+    docs: DataFrame, train: Column, tokenizer: str, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame, int, int]:
     """The pass over the texts: rows per text, rows per chunk and bucket, the end's id, bucket bits.
 
@@ -96,7 +100,7 @@ def prepare(
         for batch in batches:
             for slab in X.slabs(batch, "t"):
                 chunk, serial = X.task_id(serial), serial + 1
-                yield from _chunk(slab, chunk, e, end, bits, rounds)
+                yield from _chunk(slab, chunk, e, bits)
 
     folder = scratch_path(spark, "lm")
     written = source.mapInArrow(split, _ROW)
@@ -106,13 +110,13 @@ def prepare(
 
 
 _ROW = (
-    "kind string, chunk long, n int, k long, train boolean, n_words int, places binary, ids binary, windows binary, "
+    "kind string, chunk long, n int, k long, train boolean, n_words int, places binary, ids binary, "
     "bucket int, words binary, counts binary"
 )
 _ARROW_ROW = pa.schema([
     ("kind", pa.string()), ("chunk", pa.int64()), ("n", pa.int32()), ("k", pa.int64()), ("train", pa.bool_()),
-    ("n_words", pa.int32()), ("places", pa.binary()), ("ids", pa.binary()), ("windows", pa.binary()),
-    ("bucket", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()),
+    ("n_words", pa.int32()), ("places", pa.binary()), ("ids", pa.binary()), ("bucket", pa.int32()),
+    ("words", pa.binary()), ("counts", pa.binary()),
 ])
 
 
@@ -124,7 +128,7 @@ def _record(size: int, columns: dict) -> pa.RecordBatch:
     )
 
 
-def _chunk(slab, chunk, e, end, bits, rounds) -> Iterator[pa.RecordBatch]:
+def _chunk(slab, chunk, e, bits) -> Iterator[pa.RecordBatch]:
     size = slab.num_rows
     w = X.words(slab.column("t"))
     train = slab.column("train").to_numpy(zero_copy_only=False).astype(bool)
@@ -137,14 +141,10 @@ def _chunk(slab, chunk, e, end, bits, rounds) -> Iterator[pa.RecordBatch]:
     places = np.split(steps.astype(np.uint32), w.first[1:-1]) if size else []
     lowered = (b.translate(_TO_WORDS).decode() for b in slab.column("t").fill_null("").cast(pa.binary()).to_pylist())
     ids = [e.encode_words([x for x in t.split(" ") if x]) for t in lowered]
-    windows = [
-        _windows(np.frombuffer(b, e.dtype).astype(np.int32), end, rounds * PER_TEXT, chunk + i).tobytes() if train[i] else None
-        for i, b in enumerate(ids)
-    ]
     yield _record(size, {
         "kind": ["text"] * size, "chunk": [chunk] * size, "n": range(size), "k": slab.column("k"),
         "train": slab.column("train"), "n_words": w.per_doc.astype(np.int32), "places": [p.tobytes() for p in places],
-        "ids": ids, "windows": windows,
+        "ids": ids,
     })
     bucket = (known >> np.uint64(64 - bits)).astype(np.int64)
     there, first = np.unique(bucket, return_index=True)
@@ -347,31 +347,35 @@ def pair_counts(texts: DataFrame, vocab: attention.Vocabulary) -> np.ndarray:
 def fit(texts: DataFrame, vocab: attention.Vocabulary, rounds: int = ROUNDS, batch_rows: int = TRAIN_BATCH):
     """The network's weights, averaged over the tasks after each round."""
     spark = texts.sparkSession
-    width = attention.WIDTH + 1
     params = attention.start(pair_counts(texts, vocab))
-    seen = texts.filter("train").select("windows").coalesce(MOST_TASKS)
+    seen = texts.filter("train").select("ids").coalesce(MOST_TASKS)
     for r in range(rounds):
         held = spark.sparkContext.broadcast((params, tuple(vocab)))
 
         def learn(batches: Iterator[pa.RecordBatch], r=r, held=held) -> Iterator[pa.RecordBatch]:
             begin, v = held.value
-            n = 0
+            vocab, n = attention.Vocabulary(*v), 0
+            dtype = "<u2" if vocab.end <= 1 << 16 else "<u4"
 
             def windows() -> Iterator[np.ndarray]:
                 nonlocal n
-                kept: list[np.ndarray] = []
-                for batch in batches:
-                    for b in batch.column("windows").to_pylist():
-                        kept += list(np.frombuffer(b, np.int32).reshape(-1, width)[r * PER_TEXT : (r + 1) * PER_TEXT])
-                        if len(kept) >= batch_rows:
-                            n += len(kept)
-                            yield np.stack(kept)
-                            kept = []
-                if kept:
+                kept = np.zeros((0, attention.WIDTH + 1), np.int32)
+                for whole in batches:
+                    for batch in X.slabs(whole, "ids"):
+                        cut = [_windows(np.frombuffer(b, dtype), vocab.end, r, zlib.crc32(b)) for b in batch.column("ids").to_pylist()]
+                        found = np.concatenate(cut)
+                        # Neighbouring windows of a text do not fill a batch of their own.
+                        kept = np.concatenate([kept, found[np.random.default_rng(r).permutation(len(found))]])
+                        full = len(kept) - len(kept) % batch_rows
+                        for at in range(0, full, batch_rows):
+                            n += batch_rows
+                            yield kept[at : at + batch_rows]
+                        kept = kept[full:]
+                if len(kept):
                     n += len(kept)
-                    yield np.stack(kept)
+                    yield kept
 
-            got = attention.train(begin, windows(), attention.Vocabulary(*v), RATE)
+            got = attention.train(begin, windows(), vocab, RATE)
             if n:
                 yield _slices(attention.flat(got).astype(np.float64) * n, n)
 

@@ -103,3 +103,14 @@ def test_training_lowers_the_loss(small):
 def test_classes_of_a_large_vocabulary():
     vocab = A.vocabulary(np.ones(5000, np.int64))
     assert vocab.kinds == A.CLASSES == 128
+
+
+def test_every_id_is_a_target_once_a_round():
+    for n in (0, 1, 15, 16, 17, 500):
+        ids = np.arange(n, dtype=np.int32)
+        for which in (0, 1):
+            found = lm._windows(ids, 9999, which, n)
+            targets = found[:, 1:][found[:, 1:] >= 0]
+            assert sorted(targets.tolist()) == [*range(n), 9999]
+            assert all(b == a + 1 for row in found for a, b in zip(row, row[1:], strict=False) if 0 <= a < 9999 and 0 <= b < 9999)
+    assert not np.array_equal(lm._windows(ids, 9999, 0, 500), lm._windows(ids, 9999, 1, 500))
