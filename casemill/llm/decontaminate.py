@@ -175,21 +175,14 @@ class _Row:
         return found[self.document(found) == self.document(found + len(terms) - 1)]
 
     def near(self, terms: np.ndarray, order: np.ndarray, slop: int) -> np.ndarray:
-        """Places of the rarest term around which the next two lie within ``slop`` of their offsets."""
+        """Places of the rarest term around which all others lie within ``slop`` of their
+        offsets, in the same document."""
         found = self.positions(terms[order[0]])
-        for j in order[1:3]:
-            goal = found + j - order[0]
+        for j in order[1:]:
+            goal, doc = found + j - order[0], self.document(found)
+            low, high = np.maximum(goal - slop, self.first[doc]), np.minimum(goal + slop, self.first[doc + 1] - 1)
             other = self.positions(terms[j])
-            after = np.searchsorted(other, goal)
-            best = np.minimum(
-                np.abs(other[np.minimum(after, len(other) - 1)] - goal), np.abs(other[np.maximum(after - 1, 0)] - goal)
-            )
-            close = best <= slop
-            nearest = np.where(
-                np.abs(other[np.minimum(after, len(other) - 1)] - goal) == best,
-                other[np.minimum(after, len(other) - 1)], other[np.maximum(after - 1, 0)],
-            )
-            found = found[close & (self.document(nearest) == self.document(found))]
+            found = found[np.searchsorted(other, low) < np.searchsorted(other, high, side="right")]
             if not len(found):
                 break
         return found
@@ -250,7 +243,7 @@ def _occurrences(batch, r, q, often, slop):
         for w in range(len(q.terms)):
             terms = q.terms[w, : q.length[w]]
             order = np.argsort(often[terms], kind="stable")
-            if present[terms[order[:3]]].all():
+            if present[terms].all():
                 place = row.near(terms, order, slop)
                 if len(place):
                     yield w, "near", place, row

@@ -68,6 +68,24 @@ def test_matches_tell_place_and_kind(spark):
     assert len([r for r in rows if r["kind"] == "near"]) == 2
 
 
+def test_near_matches_equal_brute_force(spark):
+    item, slop = ["alpha", "beta", "gamma", "delta", "eps"], 2
+    rng = random.Random(5)
+    texts = [[rng.choice([*item, "so"]) for _ in range(rng.randint(1, 30))] for _ in range(200)]
+    # No eps near; and beta nearest in the document before, with another in reach.
+    texts += [["alpha", "beta", "gamma", "delta", *["so"] * 9], ["so", "beta"], ["alpha", "so", "so", "beta", "gamma", "delta", "eps"]]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    q = D.query_block(spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"), 0, 1)
+    found = [(r["key"], r["start"]) for r in D.matches(D.build_index(d, q.vocabulary), q, slop=slop).collect() if r["kind"] == "near"]
+    count = {w: sum(t.count(w) for t in texts) for w in item}
+    rare = min(range(5), key=lambda j: count[item[j]])
+    assert list(count.values()).count(min(count.values())) == 1
+    assert sorted(found) == sorted(
+        (i, at) for i, t in enumerate(texts) for at, w in enumerate(t) if w == item[rare]
+        and all(item[j] in t[max(0, at + j - rare - slop) : max(0, at + j - rare + slop + 1)] for j in range(5))
+    )
+
+
 def test_digest_of_items(spark):
     found = spark.createDataFrame([(["1", "10", "2"],), ([],)], "items array<string>").select(D.items_digest().alias("h")).collect()
     assert [r["h"] for r in found] == [hashlib.sha256(x).hexdigest() for x in (b"1,10,2", b"")]
