@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from casemill.llm import (
     decontaminate,
+    hard_negatives,
     jaccard_join,
     lm,
     mixture,
@@ -320,3 +321,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER))
     return token_files.checksums(spark, folder).withColumnRenamed("key", "doc_id")
+
+
+# --- 12: hard negatives -----------------------------------------------------------
+
+
+@query("op12_hard_negatives", """
+WITH taking AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS x
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+  vectors AS (
+    SELECT row_number() OVER () AS n, vec_id, label, list_transform(x, lambda v: floor(256 * v)) AS q
+    FROM taking WHERE len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+  scored AS (
+    SELECT a.n AS anchor, a.vec_id AS anchor_id, b.n, b.vec_id, a.label = b.label AS same,
+           list_dot_product(a.q, b.q)::BIGINT AS score
+    FROM vectors a JOIN vectors b ON a.n <> b.n WHERE a.vec_id % 100 = 0),
+  positives AS (
+    SELECT anchor, anchor_id, n AS positive, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5),
+  negatives AS (
+    SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+           row_number() OVER (PARTITION BY anchor, positive ORDER BY s.score DESC, s.vec_id) AS rank
+    FROM positives p JOIN scored s USING (anchor)
+    WHERE NOT same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM negatives WHERE rank <= 5""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, label=label)

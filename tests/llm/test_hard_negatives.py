@@ -1,0 +1,122 @@
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from casemill.llm import hard_negatives as H
+
+SCHEMA = "vec_id long, embedding array<float>, label int, row string, score string, block int"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "r", "s", 7) for r in rows], SCHEMA)
+
+
+def plain(rows, positives=5, negatives=5, scale=256, every=100):
+    """Every anchor against every row, in whole numbers."""
+    taking = []
+    for i, (vec_id, x, label) in enumerate(rows):
+        if label is None or x is None or any(v is None or not math.isfinite(v) for v in x):
+            continue
+        taking.append((i, vec_id, [math.floor(scale * float(np.float32(v))) for v in x], label))
+    order = lambda s: (-s[0], s[2] is None, s[2] or 0, s[1])
+    out = []
+    for i, vec_id, q, label in taking:
+        if vec_id is None or vec_id % every:
+            continue
+        scored = [(sum(a * b for a, b in zip(q, t)), j, v, other) for j, v, t, other in taking if j != i]
+        for p in sorted((s for s in scored if s[3] == label), key=order)[:positives]:
+            fit = [s for s in scored if s[3] != label and 80 * p[0] <= 100 * s[0] <= 100 * p[0]]
+            for rank, n in enumerate(sorted(fit, key=order)[:negatives], 1):
+                out.append((vec_id, p[2], rank, n[2], p[0], n[0]))
+    return out
+
+
+def key(r):
+    return tuple((v is None, v or 0) for v in r)
+
+
+def found(df, **more):
+    return sorted(map(tuple, H.mine(df, F.col("vec_id") % 100 == 0, **more).collect()), key=key)
+
+
+def made(seed, n=400, width=24, spread=1.0, labels=3):
+    rng = random.Random(seed)
+    centres = [[rng.gauss(0, 1) for _ in range(width)] for _ in range(4)]
+    return [
+        (i, [c + rng.gauss(0, spread) for c in rng.choice(centres)], rng.randrange(labels)) for i in range(n)
+    ]
+
+
+def test_equals_every_pair(spark):
+    rows = made(1)
+    assert found(frame(spark, rows)) == sorted(plain(rows), key=key)
+    assert found(frame(spark, rows)) != []
+
+
+def test_ties_copies_and_one_vector_held_by_a_third(spark):
+    rows = made(2, n=300, spread=0.4)
+    rows += [(i, rows[0][1], i % 2) for i in range(300, 450)] + rows[100:110]
+    assert found(frame(spark, rows).repartition(3)) == sorted(plain(rows), key=key)
+
+
+def test_odd_rows_take_no_part(spark):
+    rows = made(3, n=250)
+    rows += [
+        (500, None, 1), (600, [1.0] * 24, None), (700, [None] + [1.0] * 23, 1), (800, [math.nan] * 24, 1),
+        (900, [math.inf] * 24, 1), (None, rows[3][1], 1), (None, rows[7][1], 2), (1000, [], 1), (1100, [0.5] * 3, 2),
+    ]
+    assert found(frame(spark, rows)) == sorted(plain(rows), key=key)
+    assert not {500, 600, 700, 800, 900} & {v for r in found(frame(spark, rows)) for v in (r[0], r[1], r[3])}
+
+
+def test_blocks_of_anchors_and_few_rows(spark):
+    rows = made(4, n=350)
+    some = frame(spark, rows)
+    assert found(some, block_rows=1) == found(some) == sorted(plain(rows), key=key)
+    assert found(frame(spark, rows[:3])) == sorted(plain(rows[:3]), key=key)
+
+
+def test_other_parameters(spark):
+    rows = made(5, n=200)
+    df = H.mine(frame(spark, rows), F.col("vec_id") % 50 == 0, positives=2, negatives=3, scale=16)
+    assert sorted(map(tuple, df.collect()), key=key) == sorted(plain(rows, 2, 3, 16, 50), key=key)
+
+
+def test_long_and_wide_vectors_are_exact(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-900, 900) for _ in range(1500)], i % 2) for i in range(101)]
+    rows += [(i + 200, [v * 1.01 for v in rows[i % 3 * 50][1]], i % 2) for i in range(12)]
+    assert found(frame(spark, rows)) == sorted(plain(rows), key=key) != []
+
+
+def test_vectors_too_long_for_a_score_take_no_part(spark):
+    rows = made(7, n=150) + [(300, [1e30] * 24, 1), (400, [3e38] * 24, 0)]
+    assert found(frame(spark, rows)) == sorted(plain(rows[:150]), key=key)
+
+
+def test_residues_give_signed_products():
+    rng = np.random.default_rng(8)
+    for top in (3, 200, 40_000, 5_000_000):
+        a, b = rng.integers(-top, top, (7, 2100)), rng.integers(-top, top, (9, 2100))
+        primes = H.primes_for(2100.0 * top * top)
+        exact = (a.astype(object) @ b.astype(object).T).astype(np.int64)
+        assert (H.multiply(H.residues(a, primes), H.residues(b, primes), primes) == exact).all()
+    assert len(H.primes_for(1)) == 1 and len(H.primes_for(2**55)) == 8
+    with pytest.raises(ValueError):
+        H.primes_for(2.0**63)
+
+
+def test_first_breaks_ties_by_place():
+    scores = np.array([[5, 9, 9, 1, 9], [-3, -3, -4, -3, 0]])
+    open_ = np.array([[1, 1, 1, 1, 0], [1, 1, 1, 1, 0]], bool)
+    assert [sorted(x) for x in H.first(scores, open_, 2)] == [[1, 2], [0, 1]]
+    far = scores * (1 << 55)
+    assert [sorted(x) for x in H.first(far, open_, 2)] == [[1, 2], [0, 1]]
+
+
+def test_empty_table(spark):
+    assert found(frame(spark, [])) == []
+    assert found(frame(spark, [(1, [1.0], 1)])) == []
