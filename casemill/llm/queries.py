@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.llm import (
+    conversation_repair,
     decontaminate,
     hard_negatives,
     jaccard_join,
@@ -351,3 +352,111 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, label=label)
+
+
+# --- 13: conversation structure repair ----------------------------------------------
+
+
+def damaged_turns(rows: DataFrame) -> DataFrame:
+    """Turns damaged by a rule on their ids; ``here`` is false where a turn was dropped."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn"))) % 20
+    copies = F.when(fate == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    text = F.when(fate == 1, "").when(fate == 2, F.translate(told("text"), ".!?", "")).otherwise(told("text"))
+    role = F.when(fate == 4, "user").otherwise(told("role"))
+    return rows.select(
+        "conv_id", "turn", role.alias("role"), text.alias("text"), (fate != 0).alias("here"), F.explode(copies).alias("copy")
+    ).drop("copy")
+
+
+#: crc32 by table, as DuckDB has none; then the cheapest edits backwards over the rows.
+_REPAIR_SQL = r"""
+WITH RECURSIVE steps AS (
+    SELECT n, n AS c, 0 AS k FROM (SELECT unnest(range(256)) AS n)
+    UNION ALL
+    SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8),
+  codes AS (SELECT list(c ORDER BY n) AS t FROM steps WHERE k = 8),
+  keyed AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+    FROM conversations),
+  fated AS (
+    SELECT conv_id, turn, role, text, xor(list_reduce(
+             [4294967295] || list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT),
+             lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)])), 4294967295) % 20 AS fate
+    FROM keyed, codes),
+  damaged AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+           CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM fated WHERE fate <> 0),
+  ordered AS (
+    SELECT *, rtrim(text, E' 	
+') AS seen, left(role, 1) AS c,
+           row_number() OVER o AS i,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
+           lag(left(role, 1)) OVER o || left(role, 1) AS pair
+    FROM damaged WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+  judged AS (
+    SELECT *, CASE WHEN seen = '' THEN 'blank' WHEN again THEN 'duplicate'
+                   WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+    FROM ordered),
+  counted AS (
+    SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+           count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+           count(*) FILTER (fault = 'truncated') AS truncated,
+           count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM judged GROUP BY conv_id),
+  back AS (
+    SELECT conv_id, n AS i, {'d': 0, 'e': '', 'l': ''} AS z, {'d': 6, 'e': 'II', 'l': E'
+user:
+assistant:'} AS s,
+           {'d': 3, 'e': 'I', 'l': E'
+assistant:'} AS u, {'d': 0, 'e': '', 'l': ''} AS a
+    FROM counted
+    UNION ALL
+    SELECT conv_id, i, least(z, {'d': u2.d + 3, 'e': 'I' || u2.e, 'l': E'
+user:' || u2.l}),
+           least(s, {'d': u2.d + 3, 'e': 'I' || u2.e, 'l': E'
+user:' || u2.l}), u2,
+           least(a, {'d': u.d + 3, 'e': 'I' || u.e, 'l': E'
+user:' || u.l})
+    FROM (
+        SELECT *, least(u, {'d': a.d + 3, 'e': 'I' || a.e, 'l': E'
+assistant:' || a.l}) AS u2
+        FROM (
+            SELECT conv_id, i,
+                   least(dz, CASE WHEN stays AND c = 's' THEN ks END, CASE WHEN stays AND c = 'u' THEN ku END, ru) AS z,
+                   least(ds, CASE WHEN stays AND c = 'u' THEN ku END, ru) AS s,
+                   least(du, CASE WHEN stays AND c = 'a' THEN ka END, ra) AS u,
+                   least(da, CASE WHEN stays AND c = 'u' THEN ku END, ru) AS a
+            FROM (
+                SELECT b.conv_id, b.i - 1 AS i, c, fault IN ('', 'truncated') AS stays,
+                       {'d': z.d + 4, 'e': 'D' || z.e, 'l': z.l} AS dz, {'d': s.d + 4, 'e': 'D' || s.e, 'l': s.l} AS ds,
+                       {'d': u.d + 4, 'e': 'D' || u.e, 'l': u.l} AS du, {'d': a.d + 4, 'e': 'D' || a.e, 'l': a.l} AS da,
+                       {'d': s.d + p, 'e': 'K' || s.e, 'l': line || s.l} AS ks,
+                       {'d': u.d + p, 'e': 'K' || u.e, 'l': line || u.l} AS ku,
+                       {'d': a.d + p, 'e': 'K' || a.e, 'l': line || a.l} AS ka,
+                       CASE WHEN fault IN ('', 'truncated')
+                            THEN {'d': u.d + p + 3, 'e': 'R' || u.e, 'l': E'
+user:' || text || u.l} END AS ru,
+                       CASE WHEN fault IN ('', 'truncated')
+                            THEN {'d': a.d + p + 3, 'e': 'R' || a.e, 'l': E'
+assistant:' || text || a.l} END AS ra
+                FROM back b JOIN (
+                    SELECT *, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS p, chr(10) || role || ':' || text AS line
+                    FROM judged) j
+                  ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.i = b.i))))
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+       coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.z.d, 0)::BIGINT AS cost, coalesce(b.z.e, '') AS audit,
+       sha256(coalesce(substr(b.z.l, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN back b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 0"""
+
+
+@query("op13_conversation_repair", _REPAIR_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = damaged_turns(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(turns, present=F.col("here"))
