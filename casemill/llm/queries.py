@@ -15,6 +15,7 @@ from casemill.llm import (
     jaccard_join,
     lm,
     mixture,
+    packing,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -324,6 +325,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(spark, folder).withColumnRenamed("key", "doc_id")
 
 
+# --- 11: best-fit packing ----------------------------------------------------------
+
+
+@query("op11_best_fit_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return packed.select(
+        F.col("key").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 # --- 12: hard negatives -----------------------------------------------------------
 
 
@@ -392,7 +404,8 @@ WITH RECURSIVE steps AS (
     FROM fated WHERE fate <> 0),
   ordered AS (
     SELECT *, rtrim(text, E' 	
-') AS seen, left(role, 1) AS c,
+
+') AS seen, left(role, 1) AS c,
            row_number() OVER o AS i,
            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again,
            lag(left(role, 1)) OVER o || left(role, 1) AS pair

@@ -5,7 +5,9 @@ task of a Python worker builds the tokenizer, later ones find it there. For byte
 tokenizers a text falls apart at every single blank between two other characters, since
 no piece crosses such a place; the ids of each word are then kept for the next time it
 comes, up to ``CACHE_WORDS`` words. What does not fall apart that way, and every other
-kind of tokenizer, takes the tokenizer's own whole-text path, with equal ids.
+kind of tokenizer, takes the tokenizer's own whole-text path, with equal ids. So do texts
+that hold the string of an added token (such as ``<|endoftext|>``), which the library
+encodes as that token.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ _RUNS, _PLAIN = re.compile(_RUN), re.compile(f"(?:{_RUN})+")
 
 
 class _Uneven(Exception):
-    """A text in which a blank touches other white space."""
+    """A text in which a blank touches other white space, or that holds an added token's string."""
 
 
 class _Ids(dict):
@@ -41,7 +43,7 @@ class _Ids(dict):
         self.lead = lead
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace():
+        if not word or word[0].isspace() or word[-1].isspace() or self.encoder.holds_added(word):
             raise _Uneven
         if "\n" in word:
             return self.encoder.lines(self.lead, word)
@@ -66,9 +68,10 @@ class _Letters(dict):
 class Encoder:
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_str(file)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         told = json.loads(file)
+        #: Their strings stand for ids of their own, wherever they are in a text.
+        self.added = [x["content"] for x in told.get("added_tokens") or ()]
         pre, model = told.get("pre_tokenizer") or {}, told["model"]
         self.by_word = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
@@ -83,6 +86,9 @@ class Encoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
+    def holds_added(self, text: str) -> bool:
+        return any(x in text for x in self.added)
+
     def lines(self, lead: str, word: str) -> bytes:
         """A stretch without blanks over several lines; a single line end is a piece of its own."""
         first, *later = word.split("\n")
@@ -109,7 +115,7 @@ class Encoder:
             try:
                 return self.first[first] + b"".join(map(self.later.__getitem__, later))
             except _Uneven:
-                pieces = _BLANK.split(text)
+                pieces = [text] if self.holds_added(text) else _BLANK.split(text)
                 encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         else:
             encoded = [self.tokenizer.encode(text, add_special_tokens=False)]
