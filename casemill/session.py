@@ -135,6 +135,14 @@ def numbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
     return dealt.join(starts, "_part").withColumn(name, F.col("_start") + inside).drop("_part", "_start")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def lookup(
     big: DataFrame,
     small: DataFrame,
@@ -153,6 +161,7 @@ def lookup(
     if fits(small, max_rows):
         return big.join(F.broadcast(small), on, how)
     spread_over = salt_by or [f"`{c}`" for c in big.columns if c not in on] or list(on)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_over), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    salt = fresh(big, fresh(small, "salt"))
+    salted = big.withColumn(salt, F.pmod(F.xxhash64(*spread_over), F.lit(salts)).cast("int"))
+    repeated = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*on, salt], how).drop(salt)
