@@ -8,13 +8,20 @@ whatever order parts are merged. They are built per language and source over the
 that pass the base rule; a group with fewer than ``MIN_ROWS`` such texts takes the merged
 sketch of its language, and a small language that of all texts.
 
-A share fails above q75 + REACH * max(q75 - q25, its least spread). Everything runs on
-built-in functions; the cut-offs are one narrow row per group and are joined through a
-size-checked lookup, so a source with a third of all rows is never one task's work.
+A share fails above its fence, q75 + REACH * max(q75 - q25, unit). The unit is data, too:
+what a single event (one sign, one repeated line, two windows of repeated words, one
+capital) makes in the short texts of the group, as the upper quartile of a sketch of its
+own; where most texts have none of a kind, it says what one more would be. A group's
+fence goes no further than twice its language's, and a language's than twice that of all
+texts, so a source with much spam does not lift its own limit out of reach.
+
+Everything runs on built-in functions; the cut-offs are one narrow row per group and are
+joined through a size-checked lookup, so a source with a third of all rows is never one
+task's work.
 
 Null texts are empty: no words, base rule failed. Null languages and sources are groups
 of their own. Rows are judged one by one, whatever their ids. Extra columns are kept
-where whole rows are filtered; names beginning with ``_q`` are used inside.
+where whole rows are filtered, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,14 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casemill.session import lookup, stored
+from casemill.session import fresh, lookup, stored
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_ROWS = 100
 REACH = 3
-#: Least spread of each share, in thousandths.
-SPREAD = {"signs": 10, "lines": 150, "repeats": 150, "capitals": 50}
+#: How far a group's fence may lie beyond that of its language, and a language's beyond all.
+BEYOND = 2
+#: What is counted as one event of each kind; six words lie in two equal windows.
+EVENT = {"signs": 1, "lines": 1, "repeats": 6, "capitals": 1}
 
 # White space, signs and capitals that the counts are about.
 WHITE = " \t\n\x0b\x0c\r"
@@ -141,16 +150,33 @@ def _share(part: str, whole: str) -> Column:
     return F.coalesce(F.floor(1000 * F.col(part) / F.nullif(F.col(whole), F.lit(0))), F.lit(0)).cast("long")
 
 
+_PARTS = {
+    "signs": ("_q_symbols", "_q_chars"), "lines": ("_q_dup", "_q_lines"), "repeats": ("_q_repeat", "_q_words"),
+    "capitals": ("_q_capitals", "_q_chars"),
+}
+
+
 def _shares() -> dict[str, Column]:
-    return {
-        "signs": _share("_q_symbols", "_q_chars"), "lines": _share("_q_dup", "_q_lines"),
-        "repeats": _share("_q_repeat", "_q_words"), "capitals": _share("_q_capitals", "_q_chars"),
-    }
+    return {k: _share(*parts) for k, parts in _PARTS.items()}
+
+
+def _units() -> dict[str, Column]:
+    """What one event makes in a text, rounded up, in thousandths."""
+
+    def unit(k: str) -> Column:
+        one = F.floor(F.lit(1000 * EVENT[k]) / F.nullif(F.col(_PARTS[k][1]), F.lit(0))) + 1
+        return F.when(one.isNull(), 0).otherwise(F.least(F.lit(1000), one)).cast("long")
+
+    return {k: unit(k) for k in _PARTS}
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """Histograms: _q_lang, _q_source, share, bin, n, over the texts that pass the base rule."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("share"), v.alias("bin")) for k, v in _shares().items()])
+    """Histograms: _q_lang, _q_source, share, bin, n, over the texts that pass the base rule.
+
+    ``share`` names a kind, or the unit of a kind ('signs unit').
+    """
+    kinds = _shares() | {f"{k} unit": v for k, v in _units().items()}
+    pairs = F.array(*[F.struct(F.lit(k).alias("share"), v.alias("bin")) for k, v in kinds.items()])
     return (
         rows.filter(~F.col("_q_failed"))
         .select("_q_lang", "_q_source", F.inline(pairs))
@@ -173,18 +199,25 @@ def _quartiles(merged: DataFrame, by: list[str]) -> DataFrame:
 def cut_offs(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """One row per language and source: _q_lang, _q_source and the highest share kept of each kind."""
     levels = [["_q_lang", "_q_source"], ["_q_lang"], []]
-    joined = sketch.select("_q_lang", "_q_source", "share").distinct()
+    joined = sketch.select("_q_lang", "_q_source").distinct()
+    wide = lambda k, i: F.col(f"level{i}")[k]
     for i, by in enumerate(levels):
         merged = sketch.groupBy(*by, "share", "bin").agg(F.sum("n").alias("n"))
-        part = _quartiles(merged, by).select(*by, "share", F.struct("rows", "q25", "q75").alias(f"level{i}"))
-        joined = joined.join(part, [*by, "share"])
-    enough = lambda i: F.when(F.col(f"level{i}.rows") >= min_rows, F.col(f"level{i}"))
-    spread = F.create_map(*[F.lit(x) for kv in SPREAD.items() for x in kv])
-    best = joined.withColumn("q", F.coalesce(enough(0), enough(1), F.col("level2")))
-    high = F.col("q.q75") + REACH * F.greatest(F.col("q.q75") - F.col("q.q25"), spread[F.col("share")])
-    return best.groupBy("_q_lang", "_q_source").agg(
-        *[F.max(F.when(F.col("share") == k, high)).alias(f"_q_max_{k}") for k in SPREAD]
-    )
+        part = _quartiles(merged, by)
+        held = F.map_from_entries(F.collect_list(F.struct("share", F.struct("rows", "q25", "q75"))))
+        part = part.groupBy(*by).agg(held.alias(f"level{i}"))
+        joined = joined.join(part, by) if by else joined.join(F.broadcast(part))
+
+    def fence(k: str, i: int) -> Column:
+        q, unit = wide(k, i), wide(f"{k} unit", i)
+        return q["q75"] + REACH * F.greatest(q["q75"] - q["q25"], unit["q75"])
+
+    def most(k: str) -> Column:
+        enough = lambda i: wide(k, i)["rows"] >= min_rows
+        outer = F.when(enough(1), F.least(fence(k, 1), BEYOND * fence(k, 2))).otherwise(fence(k, 2))
+        return F.when(enough(0), F.least(fence(k, 0), BEYOND * outer)).otherwise(outer)
+
+    return joined.select("_q_lang", "_q_source", *[most(k).alias(f"_q_max_{k}") for k in _PARTS])
 
 
 def judged(rows: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -219,7 +252,10 @@ def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source
     """
     parts = [F.md5(F.col(text_col)), F.col(lang_col).cast("string"), F.col(source_col).cast("string")]
     digest = F.md5(F.concat_ws(" ", *[F.coalesce(F.concat(F.lit("="), p), F.lit("-")) for p in parts]))
-    narrow = docs.select(digest.alias("_q_key"), text_col, lang_col, source_col)
-    rows = judged(stored(measured(narrow, text_col, lang_col, source_col).drop(text_col), "measures"))
-    failed = stored(rows.filter(~F.col("_q_kept")).select("_q_key").distinct(), "failed")
-    return lookup(docs.withColumn("_q_key", digest), failed, ["_q_key"], "left_anti", salts=8).drop("_q_key")
+    narrow = docs.select(
+        digest.alias("_q_key"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")
+    )
+    rows = judged(stored(measured(narrow).drop("text"), "measures"))
+    key = fresh(docs, "key")
+    failed = stored(rows.filter(~F.col("_q_kept")).select(F.col("_q_key").alias(key)).distinct(), "failed")
+    return lookup(docs.withColumn(key, digest), failed, [key], "left_anti", salts=8).drop(key)

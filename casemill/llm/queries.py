@@ -133,11 +133,16 @@ MEASURES_SQL = rf"""
            coalesce(1000 * n_symbols // nullif(word_chars, 0), 0) AS s_signs,
            coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) AS s_lines,
            coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) AS s_repeats,
-           coalesce(1000 * n_capitals // nullif(word_chars, 0), 0) AS s_capitals
+           coalesce(1000 * n_capitals // nullif(word_chars, 0), 0) AS s_capitals,
+           coalesce(least(1000, 1000 // nullif(word_chars, 0) + 1), 0) AS u_signs,
+           coalesce(least(1000, 1000 // nullif(n_lines, 0) + 1), 0) AS u_lines,
+           coalesce(least(1000, 6000 // nullif(n_words, 0) + 1), 0) AS u_repeats,
+           coalesce(least(1000, 1000 // nullif(word_chars, 0) + 1), 0) AS u_capitals
     FROM base JOIN counted USING (rid)),
   shares AS (
-    UNPIVOT (SELECT lang, source, s_signs, s_lines, s_repeats, s_capitals FROM measured WHERE NOT base_failed)
-    ON s_signs, s_lines, s_repeats, s_capitals INTO NAME share VALUE bin),
+    UNPIVOT (SELECT lang, source, s_signs, s_lines, s_repeats, s_capitals, u_signs, u_lines, u_repeats, u_capitals
+             FROM measured WHERE NOT base_failed)
+    ON s_signs, s_lines, s_repeats, s_capitals, u_signs, u_lines, u_repeats, u_capitals INTO NAME share VALUE bin),
   own AS (
     SELECT lang, source, share, count(*) AS n, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75
     FROM shares GROUP BY ALL),
@@ -146,18 +151,24 @@ MEASURES_SQL = rf"""
     FROM shares GROUP BY ALL),
   of_all AS (
     SELECT share, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75 FROM shares GROUP BY ALL),
+  fences AS (
+    SELECT o.lang, o.source, substr(o.share, 3) AS share, o.n, l.n AS l_n,
+           o.q75 + 3 * greatest(o.q75 - o.q25, ou.q75) AS own, l.q75 + 3 * greatest(l.q75 - l.q25, lu.q75) AS lang_,
+           a.q75 + 3 * greatest(a.q75 - a.q25, au.q75) AS all_
+    FROM own o
+    JOIN own ou ON ou.share = 'u' || substr(o.share, 2) AND o.lang IS NOT DISTINCT FROM ou.lang
+      AND o.source IS NOT DISTINCT FROM ou.source
+    JOIN by_lang l ON o.share = l.share AND o.lang IS NOT DISTINCT FROM l.lang
+    JOIN by_lang lu ON lu.share = ou.share AND o.lang IS NOT DISTINCT FROM lu.lang
+    JOIN of_all a ON a.share = o.share JOIN of_all au ON au.share = ou.share
+    WHERE starts_with(o.share, 's_')),
+  wide AS (
+    SELECT *, CASE WHEN l_n >= 100 THEN least(lang_, 2 * all_) ELSE all_ END AS outer_ FROM fences),
   cuts AS (
-    SELECT o.lang, o.source, o.share,
-           CASE WHEN o.n >= 100 THEN o.q75 WHEN l.n >= 100 THEN l.q75 ELSE a.q75 END AS q75,
-           CASE WHEN o.n >= 100 THEN o.q25 WHEN l.n >= 100 THEN l.q25 ELSE a.q25 END AS q25,
-           CASE o.share WHEN 's_signs' THEN 10 WHEN 's_capitals' THEN 50 ELSE 150 END AS least
-    FROM own o JOIN by_lang l ON o.share = l.share AND o.lang IS NOT DISTINCT FROM l.lang
-    JOIN of_all a ON a.share = o.share),
+    SELECT *, CASE WHEN n >= 100 THEN least(own, 2 * outer_) ELSE outer_ END AS most FROM wide),
   tops AS (
-    SELECT lang, source, max(q75 + 3 * greatest(q75 - q25, least)) FILTER (share = 's_signs') AS m_signs,
-           max(q75 + 3 * greatest(q75 - q25, least)) FILTER (share = 's_lines') AS m_lines,
-           max(q75 + 3 * greatest(q75 - q25, least)) FILTER (share = 's_repeats') AS m_repeats,
-           max(q75 + 3 * greatest(q75 - q25, least)) FILTER (share = 's_capitals') AS m_capitals
+    SELECT lang, source, max(most) FILTER (share = 'signs') AS m_signs, max(most) FILTER (share = 'lines') AS m_lines,
+           max(most) FILTER (share = 'repeats') AS m_repeats, max(most) FILTER (share = 'capitals') AS m_capitals
     FROM cuts GROUP BY lang, source),
   judged AS (
     SELECT m.*, NOT base_failed AND coalesce(s_signs <= m_signs AND s_lines <= m_lines

@@ -58,6 +58,48 @@ def test_cut_offs_follow_the_group(spark):
     assert 5 in kept and 1000 not in kept
 
 
+def test_a_source_full_of_spam_cannot_lift_its_own_limit(spark):
+    news = [(i, " ".join(f"w{i}x{j}" for j in range(80)), "en", "news", 0) for i in range(400)]
+    hot = [(1000 + i, " ".join(f"w{i}x{j}" + "***" * (i % 3 == 0) for j in range(80)), "en", "hot", 0) for i in range(150)]
+    kept = {r["doc_id"] for r in quality_rules.assess(spark.createDataFrame(news + hot, SCHEMA)).filter("kept").collect()}
+    assert kept == {r[0] for r in news} | {1000 + i for i in range(150) if i % 3}
+
+
+def test_each_share_rejects_what_lies_far_out_and_limits_follow_the_data(spark):
+    """Two languages of other habits; every kind of outlier goes, nothing else does."""
+    rows, odd = [], {}
+    for n, (lang, size, capital) in enumerate((("aa", 90, 9), ("bb", 300, 2))):
+        for i in range(150):
+            words = [f"{'W' if j % capital == 0 else 'w'}{i}x{j}" for j in range(size)]
+            lines = [" ".join(words[j : j + 10]) for j in range(0, size, 10)]
+            rows.append((1000 * n + i, "\n".join(lines), lang, f"s{i % 2}", 0))
+        fresh = [f"w{lang}y{j}" for j in range(size)]
+        # Lines of two words repeat without repeating a window of three.
+        twos = [f"{a} {b}" for a, b in zip(fresh[::2], fresh[1::2])]
+        doubled = "\n".join(t for t in twos[: size // 6] for _ in range(2))
+        rest = " ".join(fresh[size // 3 :])
+        odd |= {
+            9000 + 10 * n: (" ".join(w + "#$" for w in fresh), lang), 9001 + 10 * n: (" ".join(fresh).upper(), lang),
+            9002 + 10 * n: (" ".join(fresh[: size // 4]) + " " + " ".join(fresh), lang),
+            9003 + 10 * n: ("\n".join(f"{w}\n{w}" for w in fresh[::3]) + "\n" + rest, lang),
+        }
+    rows += [(k, t, lang, "s0", 0) for k, (t, lang) in odd.items()]
+    df = spark.createDataFrame(rows, SCHEMA)
+    measured = quality_rules.measured(df)
+    kept = {r["doc_id"] for r in quality_rules.assess(df).filter("kept").collect()}
+    assert {r[0] for r in rows} - kept == set(odd)
+    cuts = quality_rules.cut_offs(quality_rules.sketches(measured)).collect()
+    for kind in ("signs", "lines", "repeats", "capitals"):
+        limit = {r["_q_lang"]: r[f"_q_max_{kind}"] for r in cuts}
+        assert limit["=aa"] != limit["=bb"] or kind == "signs", kind
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(*r, "a", "b", "c") for r in ROWS], SCHEMA + ", key string, _q_key string, _Q_words string")
+    out = quality_rules.keep(df)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in df.collect()}
+
+
 def test_empty_table_and_plan(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert quality_rules.assess(empty).count() == 0 and quality_rules.keep(empty).count() == 0
