@@ -23,11 +23,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.llm import texts as X
-from casemill.session import lookup, stored
+from casemill.session import fresh, lookup, stored
 
 WINDOW = 13
 BLOCK_WORDS = 2_000_000
@@ -188,6 +189,21 @@ class _Row:
         return found
 
 
+def _ship(spark: SparkSession, queries: Queries, often: np.ndarray) -> Broadcast:
+    """The test block for ``_held``, as plain arrays: workers need no copy of this package."""
+    small = queries._replace(terms=queries.terms.astype(np.int32), item=queries.item.astype(np.int32))
+    return spark.sparkContext.broadcast((tuple(small), often))
+
+
+def _held(sent: Broadcast) -> tuple[Queries, np.ndarray]:
+    parts, often = sent.value
+    return Queries(*parts), often
+
+
+def _named(item: object, whole: bool) -> object:
+    return item if whole or item is None else str(item)
+
+
 def matches(index: DataFrame, queries: Queries, slop: int | None = None) -> DataFrame:
     """Every occurrence of a window: key, row (place of the document in its index row),
     item_id, kind ('exact', or 'near' with ``slop``), start (word number in the document)
@@ -195,11 +211,13 @@ def matches(index: DataFrame, queries: Queries, slop: int | None = None) -> Data
     """
     spark = index.sparkSession
     n_terms = len(queries.vocabulary)
-    frequency = spark.sparkContext.broadcast((queries, term_counts(index, n_terms)))
+    frequency = _ship(spark, queries, term_counts(index, n_terms))
     key = index.schema["keys"].dataType.elementType.simpleString()
+    whole = all(isinstance(i, int) for i in queries.item_ids)
+    item, text = ("long", pa.int64()) if whole else ("string", pa.string())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, often = frequency.value
+        q, often = _held(frequency)
         for batch in batches:
             for r in range(batch.num_rows):
                 out: list[list] = [[], [], [], [], [], []]
@@ -216,14 +234,14 @@ def matches(index: DataFrame, queries: Queries, slop: int | None = None) -> Data
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.concat_arrays(out[0]), pa.array(np.concatenate(out[1])),
-                            pa.array([q.item_ids[i] for i in np.concatenate(out[2])], pa.int64()), pa.array(out[3]),
+                            pa.array([_named(q.item_ids[i], whole) for i in np.concatenate(out[2])], text), pa.array(out[3]),
                             pa.array(np.concatenate(out[4])), pa.array(np.concatenate(out[5])),
                         ],
                         names=["key", "row", "item_id", "kind", "start", "words"],
                     )
 
     return index.mapInArrow(
-        search, f"key {key}, row long, item_id long, kind string, start long, words long"
+        search, f"key {key}, row long, item_id {item}, kind string, start long, words long"
     )
 
 
@@ -255,12 +273,12 @@ def hits(index: DataFrame, queries: Queries) -> DataFrame:
     text, of the items with an occurring window).
     """
     spark = index.sparkSession
-    held = spark.sparkContext.broadcast((queries, term_counts(index, len(queries.vocabulary))))
+    held = _ship(spark, queries, term_counts(index, len(queries.vocabulary)))
     key = index.schema["keys"].dataType.elementType.simpleString()
     runs_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, often = held.value
+        q, often = _held(held)
         for batch in batches:
             for r in range(batch.num_rows):
                 n_words = batch.column("words")[r].values.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -357,10 +375,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     rows with a null text stay.
     """
     digest = F.md5(F.col(text_col))
-    marked = docs.select(digest.alias("_digest"), F.col(text_col).alias("_text"))
-    found = find(marked, benchmark, "_digest", "_text")
-    bad = stored(found.filter("contaminated").select(F.col("key").alias("_digest")).distinct(), "contaminated")
-    return lookup(docs.withColumn("_digest", digest), bad, ["_digest"], "left_anti").drop("_digest")
+    found = find(docs.select(digest.alias("key"), F.col(text_col).alias("text")), benchmark, "key", "text")
+    name = fresh(docs, "digest")
+    bad = stored(found.filter("contaminated").select(F.col("key").alias(name)).distinct(), "contaminated")
+    return lookup(docs.withColumn(name, digest), bad, [name], "left_anti").drop(name)
 
 
 def items_digest(items: str = "items") -> F.Column:

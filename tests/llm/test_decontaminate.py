@@ -68,6 +68,14 @@ def test_matches_tell_place_and_kind(spark):
     assert len([r for r in rows if r["kind"] == "near"]) == 2
 
 
+def test_matches_of_items_with_text_ids(spark):
+    b = spark.createDataFrame([("one", "alpha beta gamma"), (None, "gamma delta")], "item_id string, text string")
+    d = spark.createDataFrame([(7, "alpha beta gamma delta")], "doc_id long, text string")
+    q = D.query_block(b, 0, 1)
+    rows = D.matches(D.build_index(d, q.vocabulary), q).collect()
+    assert {(r["item_id"], r["start"]) for r in rows} == {("one", 0), (None, 2)}
+
+
 def test_near_matches_equal_brute_force(spark):
     item, slop = ["alpha", "beta", "gamma", "delta", "eps"], 2
     rng = random.Random(5)
