@@ -8,8 +8,9 @@ with squared norm and hinge loss is fitted to the scaled, length-normalised rows
 coordinate descent, and a logistic curve through its margins gives the score.
 
 The fit uses at most ``FIT_ROWS`` labelled documents, those with the smallest hashes of
-their ids, and at most ``FIT_FEATURES`` (lowest-hashed) features of each; both bounds
-are parameters. The model is one array of ``2 ** BITS`` numbers, whatever the corpus.
+their ids, each with all its features; where these are more than ``FIT_PAIRS`` together
+(very long texts), as many whole documents as stay below. Both bounds are parameters. The
+model is one array of ``2 ** BITS`` numbers, whatever the corpus.
 Scoring reads every text whole, in one pass without a shuffle.
 
 Null texts are empty texts; an empty text has no features and gets the score of the bare
@@ -29,11 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm import texts as X
+from casemill.session import stored
 
 FIT_ROWS = 6_000
-FIT_FEATURES = 8_192
+FIT_PAIRS = 20_000_000
 BITS = 17
 SLAB = 500_000
+#: Rows at a time; each takes 2 ** BITS bytes while its features are sorted out.
+SLAB_ROWS = 400
 EPOCHS = 30
 COST = 1.0
 
@@ -177,7 +181,7 @@ def held_out(id_col: str, folds: int = 4, which: int = 2):
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES,
+    fit_rows: int = FIT_ROWS, fit_pairs: int = FIT_PAIRS,
 ) -> Model:
     """The model of the labelled rows of ``labels`` (the caller leaves out those held out)."""
     spark = docs.sparkSession
@@ -190,11 +194,11 @@ def fit(
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slab in X.slabs(batch, "t", SLAB):
+            for slab in X.slabs(batch, "t", SLAB, SLAB_ROWS):
                 rows, cols = features(slab.column("t"))
                 parts = np.split(cols.astype(np.uint32), np.searchsorted(rows, np.arange(1, slab.num_rows)))
                 yield pa.RecordBatch.from_arrays(
-                    [slab.column("y"), pa.array([_lowest(p, fit_features).tobytes() for p in parts], pa.binary())],
+                    [slab.column("y"), pa.array([p.tobytes() for p in parts], pa.binary())],
                     names=["y", "f"],
                 )
 
@@ -212,8 +216,14 @@ def fit(
             names=["weights", "rest"],
         )
 
-    # One task fits the bounded sample; the limit holds where many rows share a chosen id.
-    found = source.mapInArrow(extract, "y boolean, f binary").orderBy(F.xxhash64("f"), "y").limit(fit_rows)
+    # One task fits the bounded sample; the limits hold where many rows share a chosen id, too.
+    found = stored(source.mapInArrow(extract, "y boolean, f binary").withColumn("h", F.xxhash64("f", "y")), "features")
+    sizes = found.select("h", (F.octet_length("f") / 4).cast("long").alias("n")).orderBy("h").limit(fit_rows).collect()
+    upto = np.cumsum([r["n"] for r in sizes])
+    last = int(np.searchsorted(upto, fit_pairs, side="right"))
+    if last < len(sizes):
+        found = found.filter(F.col("h") < sizes[last]["h"])
+    found = found.orderBy("h").limit(fit_rows).select("y", "f")
     row = found.repartition(1).mapInArrow(learn, "weights binary, rest array<double>").first()
     if row is None:
         return _fit(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
@@ -221,12 +231,6 @@ def fit(
     return Model(weights if len(weights) == 1 << BITS else weights.reshape(2, -1), *row["rest"])
 
 
-def _lowest(features_: np.ndarray, most: int) -> np.ndarray:
-    if len(features_) <= most:
-        return features_
-    return np.sort(features_[np.argsort(X.mix(features_.astype(np.uint64)), kind="stable")[:most]])
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of every row of ``docs``."""
     held = docs.sparkSession.sparkContext.broadcast(tuple(model))
@@ -235,7 +239,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*held.value)
         for batch in batches:
-            for slab in X.slabs(batch, "t", SLAB):
+            for slab in X.slabs(batch, "t", SLAB, SLAB_ROWS):
                 yield pa.RecordBatch.from_arrays(
                     [slab.column("k"), pa.array(_scores(slab.column("t"), m))], names=["k", "score"]
                 )

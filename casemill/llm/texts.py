@@ -57,14 +57,17 @@ class Words(NamedTuple):
         return np.concatenate(([0], np.cumsum(self.per_doc)))
 
 
-def slabs(batch: pa.RecordBatch, column: str, size: int = SLAB_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with about ``size`` bytes of text, one row at least."""
+def slabs(
+    batch: pa.RecordBatch, column: str, size: int = SLAB_BYTES, rows: int | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``size`` bytes of text, one row at least and ``rows`` at most."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths, dtype=np.int64)
     start, n = 0, batch.num_rows
     while start < n:
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        stop = stop if rows is None else min(stop, start + rows)
         yield batch.slice(start, stop - start)
         start = stop
 
