@@ -2,7 +2,8 @@
 
 ``write`` makes a folder with
 
-- ``dictionary``: one row, the zstandard dictionary and its SHA-256,
+- ``dictionary``: one row, the zstandard dictionary, its SHA-256 and the type of the ids
+  (``<u2``, or ``<u4`` for vocabularies beyond 65,536),
 - ``blocks``: rows of about ``BLOCK_BYTES`` bytes, in ascending order of document id:
   part and block number, smallest and largest key, keys, ids per document, offsets
   (where each document's frame begins in the payload, and the payload's end), payload
@@ -38,8 +39,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from casemill.llm import subwords
+from casemill.session import plan_bytes
 
 BLOCK_BYTES = 1_000_000
+PART_BYTES, MOST_PARTS = 64 << 20, 1 << 22
 DICTIONARY_BYTES = 64 * 1024
 SAMPLE = 1_000
 SAMPLE_BYTES = 8_192
@@ -82,8 +85,11 @@ def write(
     spark = docs.sparkSession
     learned = train_dictionary(docs, tokenizer, id_col, text_col)
     digest = hashlib.sha256(learned).hexdigest()
-    spark.createDataFrame([(digest, learned)], "dictionary string, content binary").write.parquet(f"{folder}/dictionary")
     held = subwords.ship(spark, tokenizer)
+    ids = "<u2" if subwords.encoder(held).dtype.itemsize == 2 else "<u4"
+    spark.createDataFrame(
+        [(digest, learned, ids)], "dictionary string, content binary, ids string"
+    ).write.parquet(f"{folder}/dictionary")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -121,7 +127,10 @@ def write(
         if frames:
             yield made()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A part is about PART_BYTES of the input as it is stored, where Spark knows that.
+    known = plan_bytes(docs)
+    known = known if known < MOST_PARTS * PART_BYTES else 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), known // PART_BYTES)
     ordered = (
         _source(docs, id_col, text_col)
         .withColumn("h", F.xxhash64("t"))
@@ -145,12 +154,12 @@ _BLOCK_SCHEMA = pa.schema([
 ])
 
 
-def _dictionary(spark: SparkSession, folder: str) -> tuple[str, bytes]:
+def _dictionary(spark: SparkSession, folder: str) -> tuple[str, bytes, str]:
     row = spark.read.parquet(f"{folder}/dictionary").first()
     content = bytes(row["content"])
     if hashlib.sha256(content).hexdigest() != row["dictionary"]:
         raise ValueError(f"the dictionary of {folder} is not the one its blocks name")
-    return row["dictionary"], content
+    return row["dictionary"], content, row["ids"]
 
 
 def _placed(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,24 +177,24 @@ def _placed(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.join(starts, ["part", "block"])
 
 
-def read(spark: SparkSession, folder: str, ids_type: str = "<u2", keys: DataFrame | None = None) -> DataFrame:
+def read(spark: SparkSession, folder: str, keys: DataFrame | None = None) -> DataFrame:
     """The documents as written: key, start, n_tokens, ids (array of int).
 
     With ``keys`` (one column, key) only the blocks that may hold them are opened and
     only their frames are decompressed; give a short list.
     """
-    return _decoded(spark, folder, ids_type, keys, "ids array<int>", pa.list_(pa.int32()), lambda ids: ids.tolist())
+    return _decoded(spark, folder, keys, "ids array<int>", pa.list_(pa.int32()), lambda ids: ids.tolist())
 
 
-def checksums(spark: SparkSession, folder: str, ids_type: str = "<u2") -> DataFrame:
+def checksums(spark: SparkSession, folder: str) -> DataFrame:
     """The documents as written: key, start, n_tokens, ids_crc32 (over 32-bit ids)."""
     return _decoded(
-        spark, folder, ids_type, None, "ids_crc32 long", pa.int64(), lambda ids: zlib.crc32(ids.astype("<u4").tobytes())
+        spark, folder, None, "ids_crc32 long", pa.int64(), lambda ids: zlib.crc32(ids.astype("<u4").tobytes())
     )
 
 
-def _decoded(spark, folder, ids_type, keys, column, kind, value) -> DataFrame:
-    digest, content = _dictionary(spark, folder)
+def _decoded(spark, folder, keys, column, kind, value) -> DataFrame:
+    digest, content, ids_type = _dictionary(spark, folder)
     wanted = None if keys is None else {r[0] for r in keys.collect()}
     blocks = _placed(spark, folder)
     if wanted is not None:

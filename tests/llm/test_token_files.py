@@ -10,7 +10,7 @@ from casemill.llm import subwords, token_files
 from casemill.session import scratch_path
 
 TEXTS = [
-    "", " ", "a  b", "a b ", " a b", "x\n y", "it's we'll 'tis", "<|endoftext|> hi", "a\xa0 b", "a\u2003b c",
+    "", " ", "a  b", "a b ", " a b", "x\n y", "it's we'll 'tis", "<|endoftext|> hi", "a <|endoftext|> b<|endoftext|>\n<|endoftext|><|endof", "x  <|endoftext|>\ty", "a\xa0 b", "a\u2003b c",
     "ñandú über 12ab 3.4% $5", "tab\t x", "日本 語 é́ x", "a\x1c b", "a \x85b", "º ª µ x²", "don't! !!a !a_b _x",
     "a.\nB c.\n\nD", "\na", "a\n", "x\n\ty z", "a\r\nb c", "1a2b c3\n4 ٣٤ 5½", "a\n'b c'd\n's", "word " * 2000, "z" * 9000,
 ]
@@ -24,7 +24,6 @@ def tokenizer():
 @pytest.fixture(scope="module")
 def plain(tokenizer):
     t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -66,11 +65,25 @@ def test_documents_are_frames_of_a_shared_dictionary(spark, tokenizer):
     held = spark.read.parquet(f"{folder}/dictionary").first()
     assert row["dictionary"] == held["dictionary"] and len(held["content"]) > 0
     assert len(row["offsets"]) == len(row["keys"]) + 1 and row["offsets"][-1] == len(row["payload"])
-    spark.createDataFrame([("0" * 64, b"other")], "dictionary string, content binary").write.mode("overwrite").parquet(f"{folder}/dictionary")
+    spark.createDataFrame([("0" * 64, b"other", "<u2")], "dictionary string, content binary, ids string").write.mode("overwrite").parquet(f"{folder}/dictionary")
     with pytest.raises(ValueError):
         token_files.read(spark, folder)
 
 
+def test_ids_of_a_wide_vocabulary_keep_their_width(spark, tokenizer, tmp_path):
+    """A vocabulary beyond 65,536 is written and read with four bytes an id."""
+    wide = Tokenizer.from_file(tokenizer)
+    wide.add_tokens([f"<<{i}>>" for i in range(20_000)])
+    path = str(tmp_path / "wide.json")
+    wide.save(path)
+    rows = [(1, "a <<19999>> b"), (2, "plain words"), (3, None)]
+    folder = scratch_path(spark, "tokens")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), folder, path)
+    found = {r["key"]: list(r["ids"]) for r in token_files.read(spark, folder).collect()}
+    assert found == {k: [*wide.encode(t or "", add_special_tokens=False).ids, 2] for k, t in rows}
+    assert max(found[1]) > 65_536
+
+
 def test_empty_table(spark, tokenizer):
     folder = scratch_path(spark, "tokens")
     token_files.write(spark.createDataFrame([], "doc_id long, text string"), folder, tokenizer)
