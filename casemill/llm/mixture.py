@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from casemill.session import lookup, stored
+from casemill.session import fresh, lookup, stored
 
 WEIGHTS = (5, 2, 1)
 MAX_TIMES = 3
@@ -132,17 +132,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Texts are not cut: the one document of a source that its budget divides comes once
     more if at least half of it is taken, so a source is off by half a document at most.
     """
-    hashed = docs.withColumn("_mix", _hash(id_col, text_col, source_col))
+    key, n = fresh(docs, "key"), fresh(docs, "times")
+    hashed = docs.withColumn(key, _hash(id_col, text_col, source_col))
     rows = taken(stored(keyed(docs, id_col, text_col, source_col), "sizes"))
     twice = 2 * F.col("size")
     times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / twice)).otherwise(F.lit(0))
-    counted = rows.groupBy(F.col("hash").alias("_mix")).agg(F.sum(times).cast("int").alias("_times"), F.count("*").alias("_rows"))
-    chosen = stored(counted.filter("_times > 0"), "times")
+    counted = rows.groupBy(F.col("hash").alias(key)).agg(F.sum(times).cast("int").alias(n), F.count("*").alias("_rows"))
+    chosen = stored(counted.filter(F.col(n) > 0), "times")
     # Hashes of single rows are unique, so the join needs no salt beyond the broadcast bound.
-    found = lookup(hashed, chosen.filter("_rows = 1"), ["_mix"], "inner", salts=1)
-    several = chosen.filter("_rows > 1")
+    found = lookup(hashed, chosen.filter("_rows = 1").drop("_rows"), [key], "inner", salts=1)
+    several = chosen.filter("_rows > 1").drop("_rows")
     if not several.isEmpty():
         # Equal rows are one document; it comes as often as all of them together.
-        found = found.unionByName(lookup(hashed, several, ["_mix"], "inner").dropDuplicates(["_mix"]))
-    repeated = found.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+        found = found.unionByName(lookup(hashed, several, [key], "inner").dropDuplicates([key]))
+    repeated = found.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n))))
     return repeated.select(*[f"`{c}`" for c in docs.columns])

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -34,6 +35,8 @@ def folder(spark):
     docs, passage = rows()
     path = scratch_path(spark, "tables")
     frame = spark.createDataFrame([(*r, len(r[1] or ""), "more") for r in docs], "doc_id long, text string, lang string, source string, n_chars long, hash string")
+    for name in ("_doc", "doc", "_mix", "_digest", "digest", "_q_key", "KEY", "_times", "times", "_salt", "Salt", "size"):
+        frame = frame.withColumn(name, F.concat(F.lit(f"{name} "), F.coalesce("text", F.lit("-"))))
     frame.repartition(2).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return path
@@ -48,6 +51,8 @@ def test_stages_and_result(spark, folder, tokenizer):
         path = scratch_path(spark, name)
         docs.write.parquet(path)
         docs = spark.read.parquet(path)
+        for extra in columns[6:]:
+            assert not docs.filter(F.col(extra) != F.concat(F.lit(f"{extra} "), F.coalesce("text", F.lit("-")))).count(), (name, extra)
         left.append(sorted((r["doc_id"] for r in docs.collect()), key=str))
     every, _ = rows()
     good = [r for r in every if r[1] and len(r[1].split()) >= 50 and r[0] != 403]
