@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.config import Config
-from casemill.operators import cascade, clusters, dedup, embed, export, learn, prepare, review, topics
+from casemill.operators import cascade, dedup, embed, export, hierarchy, learn, prepare, review, topics
 from casemill.operators import redact as redaction
 from casemill.operators import rules as R
 from casemill.plans import reports
@@ -70,7 +70,7 @@ def discover(
 ) -> tuple[DataFrame, DataFrame]:
     """Topic assignment and the one-row topic report."""
     cluster = clusterer or (
-        lambda v: clusters.topics_by_density(v, config.min_cluster_size)
+        lambda v: hierarchy.topics_by_hierarchy(v, config.min_cluster_size)
     )
     # Every table of the report reads the assignment, so the model runs once.
     assigned = stored(cluster(vectors).join(tickets.select("case_id", order), "case_id"), "topics")
