@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casemill.functions import vectors as V
+from casemill.operators import skipping
 from casemill.session import fits, spread
 
 # Up to this many query vectors are sent to every executor as one matrix.
@@ -72,9 +73,9 @@ def nearest(
 
     ``corpus`` has (case_id, embedding), ``queries`` has (query_id, embedding). Each
     task multiplies blocks of unit vectors and hands on k rows per query, so no
-    table of all pairs exists. A short query set is sent to all tasks. A long one
-    is cut into blocks, and every block of queries meets every block of the corpus
-    in a task of its own; each block is of bounded size whatever the input.
+    table of all pairs exists. A short query set is sent to all tasks, which read the
+    corpus where it lies. For a long one the corpus is indexed once (``skipping``), and
+    blocks that cannot hold an answer are not multiplied.
     """
     id_type = dict(corpus.dtypes)["case_id"]
     query_type = dict(queries.dtypes)["query_id"]
@@ -84,7 +85,7 @@ def nearest(
     if fits(queries, max_broadcast):
         found = _against_all_queries(unit_corpus, unit_queries, k, block_rows, out_schema)
     else:
-        found = _block_by_block(unit_corpus, unit_queries, k, block_rows, out_schema)
+        return skipping.search(skipping.build(corpus, block_rows=min(block_rows, skipping.BLOCK_ROWS)), queries, k)[0]
     by_query = W.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("case_id"))
     return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
 
@@ -111,33 +112,3 @@ def _against_all_queries(
             yield best
 
     return corpus.mapInPandas(score, out_schema)
-
-
-def _block_by_block(
-    corpus: DataFrame, queries: DataFrame, k: int, block_rows: int, out_schema: str
-) -> DataFrame:
-    corpus_blocks = max(1, -(-corpus.count() // block_rows))
-    query_blocks = max(1, -(-queries.count() // block_rows))
-
-    def cut(df: DataFrame, key: str, mine: str, own: int, other: str, others: int) -> DataFrame:
-        return df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(own)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        )
-
-    left = cut(corpus, "case_id", "_c", corpus_blocks, "_q", query_blocks)
-    right = cut(queries, "query_id", "_q", query_blocks, "_c", corpus_blocks)
-
-    def score(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "case_id": [], "similarity": []})
-        return _best(
-            asked["query_id"].to_numpy(),
-            _matrix(asked["embedding"]),
-            rows["case_id"].to_numpy(),
-            _matrix(rows["embedding"]),
-            k,
-        )
-
-    return (
-        left.groupBy("_c", "_q").cogroup(right.groupBy("_c", "_q")).applyInPandas(score, out_schema)
-    )

@@ -824,16 +824,16 @@ def normalize_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit.select("vec_id", F.posexplode("u").alias("pos", "value")).withColumn("value", F.round("value", 5))
 
 
-@query(
-    "vector_topk",
-    """WITH p AS (
+TOPK_SQL = """WITH p AS (
          SELECT q.vec_id AS query_id, e.vec_id AS case_id,
                 round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS similarity
          FROM embeddings q CROSS JOIN embeddings e),
        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, case_id) AS rank FROM p)
        SELECT query_id, case_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank
-       FROM ranked WHERE rank <= 5""",
-)
+       FROM ranked WHERE rank <= 5"""
+
+
+@query("vector_topk", TOPK_SQL)
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = A.table(spark, sf_dir, "embeddings")
     corpus = held.select(F.col("vec_id").alias("case_id"), "embedding")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.functions import vectors as V
-from casemill.operators import hierarchy
+from casemill.operators import hierarchy, skipping
 from casemill.plans import adapters as A
-from casemill.plans.registry import query
+from casemill.plans.registry import TOPK_SQL, query
 
 # --- Density with a hierarchy ------------------------------------------------------
 
@@ -57,3 +57,15 @@ def hierarchy_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("topics_hierarchy")
 def topics_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.topics_by_hierarchy(A.vectors(spark, sf_dir))
+
+
+# --- Search that skips ---------------------------------------------------------------
+
+
+@query("vector_topk_index", TOPK_SQL)
+def vector_topk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five of every vector through the index of pivots and blocks."""
+    held = A.table(spark, sf_dir, "embeddings")
+    index = skipping.build(held.select(F.col("vec_id").alias("case_id"), "embedding"))
+    hits, _ = skipping.search(index, held.select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+    return hits.withColumn("similarity", F.round("similarity", 6))
