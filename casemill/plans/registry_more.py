@@ -94,20 +94,36 @@ def _long_masks() -> str:
     return f"list_reduce(list_prepend({{'at': 0, 'p': text, 'l': ''}}, {found}), lambda a, s: {{'at': 0, 'p': replace(a.p, s.p, s.l), 'l': ''}}).p"
 
 
-@query(
-    "mask_phrase_table",
-    f"""SELECT doc_id, md5({_long_masks()}) AS text_md5
-        FROM (SELECT doc_id, text, array_to_string(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), ' ') AS joined FROM documents)""",
-)
+_MASK_TABLE = f"""SELECT doc_id, md5({_long_masks()}) AS text_md5
+        FROM (SELECT doc_id, text, array_to_string(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), ' ') AS joined FROM documents)"""
+
+
+def phrase_table(spark: SparkSession) -> DataFrame:
+    """The phrases of the sample among 100,000 that no text holds whole."""
+    more = spark.range(100_000).select(
+        F.format_string("the %d of nowhere%d", "id", "id").alias("phrase"), F.lit("ORG").alias("label")
+    )
+    return spark.createDataFrame(LONG_PHRASES, "phrase string, label string").unionByName(more)
+
+
+@query("mask_phrase_table", _MASK_TABLE)
 def mask_phrase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase table with phrases of up to five words over whole documents."""
     docs = A.table(spark, sf_dir, "documents").select("doc_id", "text")
-    phrases = spark.createDataFrame(LONG_PHRASES, "phrase string, label string")
-    entities = redact.gazetteer_entities(docs, phrases, "text", key="doc_id")
+    entities = redact.gazetteer_entities(docs, phrase_table(spark), "text", key="doc_id")
     masked = redact.mask_from_table(docs, entities, "text", "masked", key="doc_id")
     return masked.select("doc_id", F.md5(F.col("masked").cast("binary")).alias("text_md5"))
 
 
+@query("mask_phrases_in_place", _MASK_TABLE)
+def mask_phrases_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same phrases tagged and masked in the pass that reads the texts."""
+    docs = A.table(spark, sf_dir, "documents")
+    tag = redact.phrase_tagger(phrase_table(spark))
+    masked = docs.withColumn("masked", redact.mask_entities(F.col("text"), tag(F.col("text"))))
+    return masked.select("doc_id", F.md5(F.col("masked").cast("binary")).alias("text_md5"))
+
+
 @query(
     "redaction_off",
     f"""WITH {_RULED} SELECT case_id, rule_id, md5(description) AS description_md5, false AS has_masked FROM k""",

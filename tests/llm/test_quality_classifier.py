@@ -141,7 +141,8 @@ def test_bounds_keep_whole_documents(spark):
     rows = texts(60, seed=5)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
-    some = C.fit(docs, labels, fit_pairs=18_000)
+    pairs = len(C.features(pa.array([r[1] for r in rows]))[0])
+    some = C.fit(docs, labels, fit_pairs=pairs // 2)
     assert some.weights.ndim == 2 and not np.array_equal(some.weights, C.fit(docs, labels).weights)
     assert C.fit(docs, labels, fit_pairs=0).weights.ndim == 1
 
