@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import scores
 from casemill.functions.scores import percent
+from casemill.session import lookup, stored
 
 HIGH_CONFIDENCE = 0.7
 QUARTILES = (0.25, 0.5, 0.75)
@@ -24,8 +25,8 @@ QUARTILES = (0.25, 0.5, 0.75)
 # Up to this many values a percentile is taken in one aggregation buffer.
 PERCENTILE_ROWS = 1_000_000
 
-# Rank error of the first pass is one part in this; the second pass is exact.
-SKETCH_ACCURACY = 100_000
+# Size of a quantile sketch: it only brackets the ranks, the second pass is exact.
+SKETCH_K = 2_048
 
 
 @dataclass(frozen=True)
@@ -83,8 +84,7 @@ def quantiles(
     ``n`` is the number of values, counted here unless the caller knows it.
 
     ``percentile`` gathers all distinct values in one buffer, so it serves short
-    columns only. For a longer one sketches bracket each wanted rank, the values
-    outside the bracket are merely counted, and those inside are ranked.
+    columns only. A longer one goes through ``grouped_quantiles``.
     """
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
     n = values.count() if n is None else n
@@ -95,48 +95,103 @@ def quantiles(
             "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(names)]
         )
 
-    parts = []
-    for p, name in zip(probs, names):
-        place = p * (n - 1)
-        floor, ceiling = int(place), min(int(place) + 1, n - 1)
-        low, high, below = _bracket(values, floor, ceiling, n, max_rows)
-        runs = values.filter(F.col("v").between(low, high)).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-        upto = F.sum("c").over(W.orderBy("v")) + below
+    return grouped_quantiles(df, column, probs)
 
-        def at_rank(rank: int) -> Column:
-            return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank), F.col("v")))
-
-        ranked = runs.withColumn("upto", upto).agg(at_rank(floor).alias("a"), at_rank(ceiling).alias("b"))
-        value = F.col("a") + (F.col("b") - F.col("a")) * (place - floor)
-        parts.append(ranked.select(value.alias(name), F.lit(1).alias("_one")))
-    counted = df.sparkSession.range(1).select(F.lit(n).cast("bigint").alias("n"), F.lit(1).alias("_one"))
-    return reduce(lambda x, y: x.join(y, "_one"), parts, counted).drop("_one")
 
+def grouped_quantiles(
+    df: DataFrame, column: str, probs: Sequence[float] = QUARTILES, by: Sequence[str] = (), k: int = SKETCH_K
+) -> DataFrame:
+    """Per group (by..., n, q0, q1, ...): exact percentiles of a column of any length.
 
-def _bracket(values: DataFrame, floor: int, ceiling: int, n: int, most: int) -> tuple[float, float, int]:
-    """Two values with both ranks between them, and how many values lie below.
+    The first pass merges one quantile sketch per group, and each wanted rank is bracketed
+    by two of its values. The second pass counts: values outside all brackets only by the
+    gap they fall into, values inside by themselves. Their running count is taken over
+    range partitions, so neither a group nor a bracket is ever one task's work, and a value
+    that a third of the rows hold is one row. Passes do not depend on how many percentiles
+    are asked for. Where a sketch has missed a rank, both are repeated with wider brackets.
 
-    Sketches of ever fewer values narrow the bracket until it holds ``most`` values at
-    most or a sketch cannot part them, as with many equal ones. The counts say whether a
-    sketch has missed a rank; then it is tried with a wider margin.
+    Nulls are left out; a group of nulls only has n = 0 and null percentiles. NaN counts as
+    infinite. Without ``by`` there is one row, and with it one per group, null groups included.
     """
-    whole = values.agg(F.min("v").alias("a"), F.max("v").alias("b")).head()
-    low, high, below, inside = whole["a"], whole["b"], 0, n
-    margin = 10.0 / SKETCH_ACCURACY
-    while inside > most:
-        edges = [max(0.0, (floor - below) / inside - margin), min(1.0, (ceiling + 1 - below) / inside + margin)]
-        held = values.filter(F.col("v").between(low, high))
-        e = held.agg(F.percentile_approx("v", F.array(*[F.lit(x) for x in edges]), SKETCH_ACCURACY).alias("e")).head()["e"]
-        found = values.agg(
-            F.count_if(F.col("v") < e[0]).alias("below"), F.count_if(F.col("v").between(*e)).alias("inside")
-        ).head()
-        if not found["below"] <= floor <= ceiling < found["below"] + found["inside"]:
-            margin *= 4
-            continue
-        if found["inside"] >= inside:
+    keys = [f"g{i}" for i in range(len(by))]
+    value = F.nanvl(F.col(column).cast("double"), F.lit(float("inf")))
+    rows = df.select(*[F.col(c).alias(g) for c, g in zip(by, keys)], value.alias("v"))
+    sketched = stored(
+        rows.groupBy(*keys).agg(F.count("v").alias("n"), F.kll_sketch_agg_double("v", F.lit(k)).alias("sketch")), "sketches"
+    )
+    margin = 4.6 / k**0.9021  # twice the error that one rank in a hundred exceeds
+    while True:
+        found = _between_brackets(rows, sketched, keys, probs, margin, k)
+        if found is not None:
             break
-        low, high, below, inside = e[0], e[1], found["below"], found["inside"]
-    return low, high, below
+        margin *= 4
+    names = [F.col(g).alias(c) for c, g in zip(by, keys)]
+    return found.select(*names, "n", *[f"q{i}" for i in range(len(probs))])
+
+
+def _between_brackets(
+    rows: DataFrame, sketched: DataFrame, keys: list[str], probs: Sequence[float], margin: float, k: int
+) -> DataFrame | None:
+    """The percentiles read from between brackets ``margin`` wide; None if a rank is not inside."""
+    places = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    ranks = [F.floor(x).cast("bigint") for x in places]
+    nexts = [F.least(r + 1, F.col("n") - 1) for r in ranks]
+
+    def edges(way: int) -> Column:
+        shares = [min(1.0, max(0.0, float(p) + way * margin)) for p in probs]
+        # A group not much larger than its sketch is taken whole.
+        return F.array(*[
+            F.when(F.col("n") > 4 * k, F.kll_sketch_get_quantile_double("sketch", F.lit(x))).otherwise(way * float("inf"))
+            for x in shares
+        ])
+
+    brackets = sketched.filter("n > 0").select(*keys, edges(-1).alias("lows"), edges(1).alias("highs"))
+    there = rows.filter(F.col("v").isNotNull())
+    if keys:
+        # A null group joins like any other through its list of values.
+        key = F.array(*[F.array_compact(F.array(F.col(g).cast("string"))) for g in keys])
+        marked = lookup(there.withColumn("key", key), brackets.withColumn("key", key).drop(*keys), ["key"], "inner").drop("key")
+    else:
+        held = brackets.head()
+        sides = {c: F.array(*[F.lit(x) for x in (held[c] if held else [])]).cast("array<double>") for c in ("lows", "highs")}
+        marked = there.withColumns(sides)
+    inside = F.exists(F.arrays_zip("lows", "highs"), lambda b: (F.col("v") >= b["lows"]) & (F.col("v") <= b["highs"]))
+    gap = F.size(F.filter("highs", lambda h: h < F.col("v")))
+    counted = marked.select(*keys, F.when(inside, F.col("v")).alias("own"), F.when(~inside, gap).alias("gap"), "v")
+    counted = counted.groupBy(*keys, "own", "gap").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("at"))
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(counted.repartitionByRange(parts, *keys, "at").withColumn("part", F.spark_partition_id()), "counted")
+    sums = dealt.groupBy("part", *keys).agg(F.sum("c").alias("c"))
+    earlier = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select("part", *keys, F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
+    upto = F.sum("c").over(W.partitionBy("part", *keys).orderBy("at"))
+    same = [F.col(f"d.{g}").eqNullSafe(F.col(f"s.{g}")) for g in ("part", *keys)]
+    running = dealt.withColumn("upto", upto).alias("d").join(before.alias("s"), same)
+    running = running.select(*[f"d.{g}" for g in keys], "own", "c", (F.col("upto") + F.col("before")).alias("upto"))
+    same = [F.col(f"r.{g}").eqNullSafe(F.col(f"n.{g}")) for g in keys] or [F.lit(True)]
+    sizes = F.broadcast(sketched.drop("sketch")) if not keys else sketched.drop("sketch")
+    ranked = running.alias("r").join(sizes.alias("n"), same).select(*[f"r.{g}" for g in keys], "n", "own", "c", "upto")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank), F.col("own")))
+
+    both = ranked.groupBy(*keys, "n").agg(
+        *[at(r).alias(f"a{i}") for i, r in enumerate(ranks)], *[at(r).alias(f"b{i}") for i, r in enumerate(nexts)]
+    )
+    both = stored(both, "ranked")
+    missed = F.lit(False)
+    for i in range(len(probs)):
+        missed |= F.col(f"a{i}").isNull() | F.col(f"b{i}").isNull()
+    if not both.filter(missed).isEmpty():
+        return None
+    values = [
+        F.when((F.col(f"a{i}") == F.col(f"b{i}")) | (places[i] == ranks[i]), F.col(f"a{i}"))
+        .otherwise(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (places[i] - ranks[i])).alias(f"q{i}")
+        for i in range(len(probs))
+    ]
+    none = sketched.filter("n = 0").select(*keys, "n", *[F.lit(None).cast("double").alias(f"q{i}") for i in range(len(probs))])
+    return both.select(*keys, "n", *values).unionByName(none)
 
 
 def moments(column: str) -> list[Column]:

@@ -179,13 +179,16 @@ def apply_rules(
 ) -> DataFrame:
     """Add the four verdict columns of the first matching rule, null without one.
 
-    Both forms give the same rows. The chain compiles each pattern once per task;
-    ``as_data`` keeps the plan small when there are very many rules. It is chosen
-    by the number of rules unless given.
+    All forms give the same rows. The chain compiles each pattern once per task;
+    ``as_data`` walks the rules as data. Unless one is chosen, very many rules are tried
+    behind their literals (``rule_index``).
     """
-    usable = active(df.sparkSession, rules)
-    if as_data is None:
-        as_data = len(usable) > 10 * CHAIN_LENGTH
+    held = list(rules)
+    if as_data is None and len(held) > 10 * CHAIN_LENGTH:
+        from casemill.operators import rule_index
+
+        return rule_index.apply_indexed(df, held, columns)
+    usable = active(df.sparkSession, held)
     # The joined text is its own projection so that the rules share one copy of it.
     subject = F.col("_searched")
     verdict = _scan(subject, usable) if as_data else _chain(subject, usable)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.functions import vectors as V
-from casemill.operators import hierarchy, skipping
+from casemill.operators import hierarchy, metrics, rule_index, skipping
+from casemill.operators import rules as R
 from casemill.plans import adapters as A
-from casemill.plans.registry import TOPK_SQL, query
+from casemill.plans.registry import _RULED, TOPK_SQL, query
 
 # --- Density with a hierarchy ------------------------------------------------------
 
@@ -69,3 +72,48 @@ def vector_topk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = skipping.build(held.select(F.col("vec_id").alias("case_id"), "embedding"))
     hits, _ = skipping.search(index, held.select(F.col("vec_id").alias("query_id"), "embedding"), 5)
     return hits.withColumn("similarity", F.round("similarity", 6))
+
+
+# --- Percentiles ----------------------------------------------------------------------
+
+
+@query(
+    "price_quantiles_by_flag",
+    """SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n,
+         round(quantile_cont(l_extendedprice, 0.01), 6) AS q0, round(quantile_cont(l_extendedprice, 0.25), 6) AS q1,
+         round(quantile_cont(l_extendedprice, 0.5), 6) AS q2, round(quantile_cont(l_extendedprice, 0.9), 6) AS q3,
+         round(quantile_cont(l_extendedprice, 0.999), 6) AS q4
+       FROM lineitem GROUP BY 1, 2""",
+)
+def price_quantiles_by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five exact percentiles of every group, in the two passes that one would take."""
+    probs = (0.01, 0.25, 0.5, 0.9, 0.999)
+    found = metrics.grouped_quantiles(
+        A.table(spark, sf_dir, "lineitem"), "l_extendedprice", probs, ("l_returnflag", "l_linestatus")
+    )
+    return found.select("l_returnflag", "l_linestatus", "n", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in range(5)])
+
+
+# --- Rules behind their literals --------------------------------------------------------
+
+
+def many_rules() -> list[R.Rule]:
+    """The sample's rules in their order, among 5,000 that look for what no ticket says."""
+    out: list[R.Rule] = []
+    for i in range(5_000):
+        if i % 400 == 0 and i // 400 < len(A.SAMPLE_RULES):
+            out.append(A.SAMPLE_RULES[i // 400])
+        pattern = (f"error {i}7q", f"(?:reset|reboot) unit {i}x[0-9]+", f"part-{i}q(ab|cd)+", f"{i}zq.*{i}zq")[i % 4]
+        out.append(R.Rule(f"N{i}", pattern, f"N.{i}", "None such", 0.5, case_sensitive=i % 3 == 0))
+    out += A.SAMPLE_RULES[13:]
+    return [dataclasses.replace(r, rule_order=n) for n, r in enumerate(out)]
+
+
+@query(
+    "rules_by_literals",
+    f"WITH {_RULED} SELECT case_id, rule_code, rule_name, rule_confidence, rule_id, true AS few FROM k",
+)
+def rules_by_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First match among 5,000 rules; no ticket tries more than a hundredth of them."""
+    found = rule_index.apply_indexed(A.tickets(spark, sf_dir), many_rules(), tried="tried")
+    return found.select("case_id", *R.VERDICT_FIELDS, (F.col("tried") <= 50).alias("few"))

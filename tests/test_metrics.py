@@ -1,4 +1,5 @@
 import math
+import random
 import statistics
 
 import pytest
@@ -175,3 +176,41 @@ def test_no_window_over_raw_rows(classified):
     physical = metrics.top_categories(classified)._jdf.queryExecution().executedPlan().toString()
     assert physical.index("HashAggregate") > physical.index("Window")
     assert "partial_count" in physical
+
+
+def plain_quantile(values, p):
+    ordered = sorted(values)
+    place = p * (len(ordered) - 1)
+    a, b = ordered[int(place)], ordered[min(int(place) + 1, len(ordered) - 1)]
+    return a if a == b else a + (b - a) * (place - int(place))
+
+
+@pytest.mark.parametrize("k", [8, 200])
+def test_quantiles_of_groups_are_exact_whatever_the_sketch(spark, k):
+    """Hot values, a hot group, a null group, a group of nulls, groups of one row."""
+    rng = random.Random(k)
+    groups = {"hot": 4000, "small": 30, "one": 1, None: 500}
+    rows = [(g, rng.choice([7.0, rng.gauss(0, 100), float(rng.randrange(5))])) for g, n in groups.items() for _ in range(n)]
+    rows += [("none", None)] * 3 + [("hot", None)] * 5
+    probs = (0.0, 0.1, 0.5, 0.5001, 0.99, 1.0)
+    df = spark.createDataFrame([(*r, 1.0, "x") for r in rows], "g string, v double, n double, key string").repartition(7)
+    found = {r["g"]: r for r in metrics.grouped_quantiles(df, "v", probs, ["g"], k).collect()}
+    for g in {r[0] for r in rows}:
+        own = [v for h, v in rows if h == g and v is not None]
+        got = [found[g][f"q{i}"] for i in range(len(probs))]
+        assert found[g]["n"] == len(own)
+        assert got == [None] * 6 if not own else got == pytest.approx([plain_quantile(own, p) for p in probs], abs=1e-9)
+    whole = metrics.grouped_quantiles(df, "v", probs, k=k).collect()
+    every = [v for _, v in rows if v is not None]
+    assert len(whole) == 1 and [whole[0][f"q{i}"] for i in range(6)] == pytest.approx([plain_quantile(every, p) for p in probs])
+
+
+def test_quantiles_by_two_columns_with_infinite_values(spark):
+    inf = float("inf")
+    rows = [("a", 1, inf), ("a", 1, -inf), ("a", 1, 2.0), ("a", None, float("nan")), ("b", 1, 5.0), ("b", 1, 5.0)]
+    df = spark.createDataFrame(rows, "a string, b int, v double")
+    found = {(r["a"], r["b"]): r["q0"] for r in metrics.grouped_quantiles(df, "v", (0.5,), ["a", "b"]).collect()}
+    assert found == {("a", 1): 2.0, ("a", None): inf, ("b", 1): 5.0}
+    assert metrics.grouped_quantiles(df.limit(0), "v", (0.5,), ["a"]).count() == 0
+    empty = metrics.grouped_quantiles(df.limit(0), "v", (0.5,)).collect()
+    assert [(r["n"], r["q0"]) for r in empty] == [(0, None)]
