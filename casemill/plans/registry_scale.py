@@ -11,7 +11,9 @@ from casemill.functions import vectors as V
 from casemill.operators import hierarchy, metrics, rule_index, skipping
 from casemill.operators import rules as R
 from casemill.plans import adapters as A
-from casemill.plans.registry import _RULED, TOPK_SQL, query
+from casemill.plans.registry import _RULED, _TICKET_DIGEST, TOPK_SQL, _digest, query
+from casemill.session import scratch_path, stored
+from casemill.sources import readers, writers
 
 # --- Density with a hierarchy ------------------------------------------------------
 
@@ -117,3 +119,20 @@ def rules_by_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First match among 5,000 rules; no ticket tries more than a hundredth of them."""
     found = rule_index.apply_indexed(A.tickets(spark, sf_dir), many_rules(), tried="tried")
     return found.select("case_id", *R.VERDICT_FIELDS, (F.col("tried") <= 50).alias("few"))
+
+
+# --- CSV in parallel ------------------------------------------------------------------------
+
+_SPLIT = "spark.sql.files.maxPartitionBytes"
+
+
+@query("csv_split_roundtrip", _TICKET_DIGEST)
+def csv_split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV with line breaks in quotes, each file read in many splits."""
+    path = writers.write_csv(A.tickets(spark, sf_dir), scratch_path(spark, "tickets") + ".csv")
+    before = spark.conf.get(_SPLIT)
+    spark.conf.set(_SPLIT, "64k")
+    try:
+        return _digest(stored(readers.read_tickets_csv(spark, path, split=True), "read"))
+    finally:
+        spark.conf.set(_SPLIT, before)
