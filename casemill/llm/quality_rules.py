@@ -37,7 +37,7 @@ from casemill.session import fresh, lookup, stored
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_ROWS = 100
-REACH = 3
+REACH = 5
 #: How far a group's fence may lie beyond that of its language, and a language's beyond all.
 BEYOND = 2
 #: What is counted as one event of each kind; six words lie in two equal windows.

@@ -153,8 +153,8 @@ MEASURES_SQL = rf"""
     SELECT share, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75 FROM shares GROUP BY ALL),
   fences AS (
     SELECT o.lang, o.source, substr(o.share, 3) AS share, o.n, l.n AS l_n,
-           o.q75 + 3 * greatest(o.q75 - o.q25, ou.q75) AS own, l.q75 + 3 * greatest(l.q75 - l.q25, lu.q75) AS lang_,
-           a.q75 + 3 * greatest(a.q75 - a.q25, au.q75) AS all_
+           o.q75 + 5 * greatest(o.q75 - o.q25, ou.q75) AS own, l.q75 + 5 * greatest(l.q75 - l.q25, lu.q75) AS lang_,
+           a.q75 + 5 * greatest(a.q75 - a.q25, au.q75) AS all_
     FROM own o
     JOIN own ou ON ou.share = 'u' || substr(o.share, 2) AND o.lang IS NOT DISTINCT FROM ou.lang
       AND o.source IS NOT DISTINCT FROM ou.source
