@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS, CACHE_PIECES = 1_000_000, 500_000
 
 _BLANK = re.compile(r"(?<=\S)(?= \S)")
 # Runs of letters that need no look at Unicode tables, of digits, and of ASCII signs other
@@ -43,7 +43,7 @@ class _Ids(dict):
         self.lead = lead
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace() or word[-1].isspace() or self.encoder.holds_added(word):
+        if not word or word[0].isspace() or word[-1].isspace() or self.encoder.find_added(word):
             raise _Uneven
         if "\n" in word:
             return self.encoder.lines(self.lead, word)
@@ -53,6 +53,21 @@ class _Ids(dict):
         return found
 
 
+class _Pieces(dict):
+    """Piece with its lead -> bytes of its ids; words share their stems and their signs."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        e = self.encoder
+        found = array(e.code, [x.id for x in e.tokenizer.model.tokenize(piece.translate(e.letters))]).tobytes()
+        if len(self) < CACHE_PIECES:
+            self[piece] = found
+        return found
+
+
 class _Letters(dict):
     """Code point -> the characters that stand for its bytes in the vocabulary."""
 
@@ -71,7 +86,8 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         told = json.loads(file)
         #: Their strings stand for ids of their own, wherever they are in a text.
-        self.added = [x["content"] for x in told.get("added_tokens") or ()]
+        added = [re.escape(x["content"]) for x in told.get("added_tokens") or ()]
+        self.find_added = re.compile("|".join(added) or r"(?!)").search
         pre, model = told.get("pre_tokenizer") or {}, told["model"]
         self.by_word = (
             pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
@@ -80,15 +96,13 @@ class Encoder:
         )
         self.letters = _Letters(self.tokenizer)
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.pieces = _Pieces(self)
         self.first, self.later = _Ids(self, ""), _Ids(self, " ")
         self.line_end = self._bytes(self.tokenizer.encode("\n", add_special_tokens=False).ids) if self.by_word else b""
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def holds_added(self, text: str) -> bool:
-        return any(x in text for x in self.added)
-
     def lines(self, lead: str, word: str) -> bytes:
         """A stretch without blanks over several lines; a single line end is a piece of its own."""
         first, *later = word.split("\n")
@@ -103,8 +117,7 @@ class Encoder:
             return self._bytes(self.tokenizer.encode(lead + word, add_special_tokens=False).ids)
         pieces = _RUNS.findall(word)
         pieces[0] = lead + pieces[0]
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        return self._bytes([x.id for p in pieces for x in tokenize(p.translate(letters))])
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         """The ids of the whole text, as little-endian numbers of ``dtype``."""
@@ -115,7 +128,7 @@ class Encoder:
             try:
                 return self.first[first] + b"".join(map(self.later.__getitem__, later))
             except _Uneven:
-                pieces = [text] if self.holds_added(text) else _BLANK.split(text)
+                pieces = [text] if self.find_added(text) else _BLANK.split(text)
                 encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
         else:
             encoded = [self.tokenizer.encode(text, add_special_tokens=False)]
