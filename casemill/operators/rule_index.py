@@ -168,20 +168,23 @@ def apply_indexed(
     """
     spark = df.sparkSession
     usable = R.active(spark, rules)
-    sent = {"rules": [(r.pattern, r.case_sensitive) for r in usable], "needs": [required(r) for r in usable]}
-    held = spark.sparkContext.broadcast(sent)
+    held = spark.sparkContext.broadcast({
+        "rules": [(r.pattern, r.case_sensitive) for r in usable], "needs": [required(r) for r in usable],
+        "verdicts": [(r.assign_code, r.assign_name, float(r.confidence), r.rule_id) for r in usable],
+    })
+    none = (None,) * len(R.VERDICT_FIELDS)
 
-    @F.pandas_udf("struct<rule:int,tried:int>")
+    @F.pandas_udf(R.VERDICT_TYPE[:-1] + ",tried:int>")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index = _index(held)
+        index, verdicts = _index(held), held.value["verdicts"]
         for texts in batches:
             found = [index.first(t or "") for t in texts]
-            yield pd.DataFrame({
-                "rule": pd.array([i for i, _ in found], "Int32"), "tried": pd.array([n for _, n in found], "Int32"),
-            })
+            rows = [(*(none if i is None else verdicts[i]), n) for i, n in found]
+            yield pd.DataFrame(rows, columns=[*R.VERDICT_FIELDS, "tried"])
 
-    verdicts = F.array(*[R._verdict(r) for r in usable]) if usable else F.array().cast(f"array<{R.VERDICT_TYPE}>")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in R.VERDICT_FIELDS]
     counted: list[Column] = [] if tried is None else [F.col("_found.tried").alias(tried)]
     found = df.withColumn("_found", search(R.searched_text(df, columns)))
-    return found.select(*kept, *counted, F.inline_outer(F.array(F.get(verdicts, F.col("_found.rule")))))
+    # Expanded as in apply_rules, so that later filters do not search again.
+    verdict = F.struct(*[F.col(f"_found.{f}").alias(f) for f in R.VERDICT_FIELDS])
+    return found.select(*kept, *counted, F.inline(F.array(verdict)))

@@ -10,6 +10,7 @@ import logging
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -99,10 +100,11 @@ def java_pattern(rule: Rule) -> str:
     return flags + _java_syntax(rule.pattern)
 
 
-def is_valid(spark: SparkSession, rule: Rule) -> bool:
+def is_valid(spark: SparkSession, rule: Rule, java: Any = None) -> bool:
+    """``java`` is Java's class of patterns, for callers with many rules: looking it up is slow."""
     try:
         re.compile(rule.pattern)
-        spark._jvm.java.util.regex.Pattern.compile(java_pattern(rule))
+        (java or spark._jvm.java.util.regex.Pattern).compile(java_pattern(rule))
     except (re.error, Py4JJavaError, PySparkException) as error:
         log.warning("Rule %s has an invalid pattern: %s", rule.rule_id, str(error).split("\n")[0])
         return False
@@ -111,8 +113,8 @@ def is_valid(spark: SparkSession, rule: Rule) -> bool:
 
 def active(spark: SparkSession, rules: Iterable[Rule]) -> list[Rule]:
     """Enabled rules with a usable pattern, in rule order."""
-    ordered = sorted(rules, key=lambda r: r.rule_order)
-    return [r for r in ordered if r.enabled and is_valid(spark, r)]
+    ordered, java = sorted(rules, key=lambda r: r.rule_order), spark._jvm.java.util.regex.Pattern
+    return [r for r in ordered if r.enabled and is_valid(spark, r, java)]
 
 
 def searched_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.functions import vectors as V
-from casemill.operators import hierarchy, metrics, rule_index, skipping
+from casemill.operators import graph_axes, hierarchy, metrics, rule_index, skipping
 from casemill.operators import rules as R
 from casemill.plans import adapters as A
 from casemill.plans.registry import _RULED, _TICKET_DIGEST, TOPK_SQL, _digest, query
@@ -136,3 +136,39 @@ def csv_split_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _digest(stored(readers.read_tickets_csv(spark, path, split=True), "read"))
     finally:
         spark.conf.set(_SPLIT, before)
+
+
+# --- The neighbour graph and its axes ----------------------------------------------------------
+
+
+@query(
+    "neighbour_graph",
+    """WITH u AS (
+      SELECT 'D' || vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(
+        list_transform(CAST(embedding AS DOUBLE[]), lambda y: y * y)))) AS v FROM embeddings),
+    s AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 9) AS s FROM u a JOIN u b ON a.id <> b.id),
+    near AS (SELECT a, b, greatest(s, 1e-6) AS w FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 15)
+    SELECT a, b, round(sum(w) / 2, 6) AS weight FROM (SELECT a, b, w FROM near UNION ALL SELECT b, a, w FROM near)
+    GROUP BY a, b""",
+)
+def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symmetric links of every vector to its fifteen nearest."""
+    graph = graph_axes.landmark_graph(A.vectors(spark, sf_dir))
+    return graph_axes.links(spark, graph).withColumn("weight", F.round("weight", 6))
+
+
+@query("reduce_graph")
+def reduce_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_axes.reduce_graph(A.vectors(spark, sf_dir))
+
+
+@query("reduce_graph_check", "SELECT unnest(range(5))::INTEGER AS axis, true AS small, true AS spread FROM (SELECT 1) WHERE EXISTS (FROM embeddings)")
+def reduce_graph_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every axis is an eigenvector of the graph, by joins over its links, and no axis is flat."""
+    vectors = A.vectors(spark, sf_dir)
+    graph = graph_axes.landmark_graph(vectors)
+    found = graph_axes.axes(graph)
+    points = stored(graph_axes.reduce_graph(vectors), "points")
+    left = graph_axes.residuals(graph_axes.links(spark, graph), points, found.value)
+    sizes = points.select(F.posexplode("point").alias("axis", "x")).groupBy("axis").agg(F.stddev_pop("x").alias("s"))
+    return left.join(sizes, "axis").select("axis", (F.col("residual") < 1e-6).alias("small"), (F.col("s") > 0.1).alias("spread"))

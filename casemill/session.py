@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +37,8 @@ def build_session(app: str = "casemill", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Where it names none, a folder in the warehouse, which all executors share too.
+    Where it names none, a folder in the warehouse, which all executors share too; a
+    warehouse on a machine's own disk is good for local runs only, and refused elsewhere.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -44,7 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rstrip("/")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith("file:") and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("On a cluster, name a folder that all executors share in spark.checkpoint.dir")
+    return f"{warehouse}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
