@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions import scores as S
-from casemill.operators import learn
+from casemill.operators import calibrate, learn
 from casemill.session import lookup, stored
 
 THRESHOLD = 0.70
@@ -53,9 +53,12 @@ def classify(
     vectors: DataFrame | None = None,
     model: PipelineModel | None = None,
     threshold: float = THRESHOLD,
+    curve: calibrate.Curve | None = None,
 ) -> DataFrame:
     """``decide`` with a model that sees only the tickets the rules left over.
 
+    With a ``curve`` the threshold is held against calibrated confidence.
+
     Tickets with a verdict are not scored, and vectors never meet the texts. Store
     ``df`` first: it is read for its ids and then in whole.
     """
@@ -63,5 +66,7 @@ def classify(
         return decide(df, threshold)
     rest = df.filter(F.col("rule_code").isNull()).select("case_id")
     scored = learn.score(model, vectors.select("case_id", "embedding").join(rest, "case_id", "left_semi"))
+    if curve is not None:
+        scored = scored.withColumn("ml_confidence", calibrate.calibrated(F.col("ml_confidence"), curve))
     # Ids and scores alone are joined to the wide rows.
     return cascade(df, stored(scored.select("case_id", "ml_code", "ml_confidence"), "scores"), threshold)

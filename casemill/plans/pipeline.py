@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.config import Config
-from casemill.operators import cascade, dedup, embed, export, hierarchy, learn, prepare, review, topics
+from casemill.operators import calibrate, cascade, dedup, embed, export, hierarchy, learn, prepare, review, topics
 from casemill.operators import redact as redaction
 from casemill.operators import rules as R
 from casemill.plans import reports
@@ -129,12 +129,15 @@ def run_pipeline(
     clusterer: Clusterer | None = None,
     strict: bool = True,
     multiline: bool = True,
+    calibrated: bool = False,
 ) -> dict[str, str | None]:
     """Prepare, ingest, redact, label, embed, discover, classify, export.
 
     ``raw`` is a table or a CSV path. Without an embedder there are no vectors, so
     topics and the trained model are left out and the rules decide alone. Turn
     ``multiline`` off to read large CSV files in parts; their fields then hold no line break.
+    ``calibrated`` holds the threshold against confidence that out-of-fold scores have
+    calibrated, at the price of a fit per fold.
     """
     if isinstance(raw, str):
         raw = readers.read_tickets_csv(spark, raw, multiline)
@@ -152,7 +155,7 @@ def run_pipeline(
     )
     tickets = spark.read.parquet(paths["with_rules"])
 
-    vectors = model = None
+    vectors = model = curve = None
     if embedder is not None:
         paths["embeddings"] = writers.write_vectors(
             embedder(embed.texts(tickets)), f"{config.models_dir}/{name}_embeddings.parquet"
@@ -161,13 +164,16 @@ def run_pipeline(
         _, report = discover(tickets, vectors, config, clusterer)
         paths["topics"] = writers.write_json_report(report, f"{config.reports_dir}/{name}_topics.json")
         if learn.enough_labels(tickets):
-            trained = learn.train(learn.training_set(tickets, vectors))
+            training = learn.training_set(tickets, vectors)
+            training = stored(training, "training") if calibrated else training
+            trained = learn.train(training)
             if trained is not None:
+                curve = calibrate.fit_model(training) if calibrated else None
                 paths["model"] = f"{config.models_dir}/{name}_classifier"
                 trained.save(paths["model"])
                 model = trained.model
 
-    classified = cascade.classify(tickets, vectors, model, config.confidence_threshold)
+    classified = cascade.classify(tickets, vectors, model, config.confidence_threshold, curve)
     paths["classified"] = writers.write_parquet(
         export.with_audit(classified), f"{config.redacted_dir}/{name}_classified.parquet"
     )

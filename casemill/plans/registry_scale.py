@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.functions import vectors as V
-from casemill.operators import graph_axes, hierarchy, metrics, rule_index, skipping
+from casemill.operators import calibrate, graph_axes, hierarchy, metrics, rule_index, skipping
 from casemill.operators import rules as R
 from casemill.plans import adapters as A
-from casemill.plans.registry import _RULED, _TICKET_DIGEST, TOPK_SQL, _digest, query
+from casemill.plans.registry import _C, _RULED, _TICKET_DIGEST, TOPK_SQL, _digest, query
 from casemill.session import scratch_path, stored
 from casemill.sources import readers, writers
 
@@ -172,3 +172,63 @@ def reduce_graph_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = graph_axes.residuals(graph_axes.links(spark, graph), points, found.value)
     sizes = points.select(F.posexplode("point").alias("axis", "x")).groupBy("axis").agg(F.stddev_pop("x").alias("s"))
     return left.join(sizes, "axis").select("axis", (F.col("residual") < 1e-6).alias("small"), (F.col("s") > 0.1).alias("spread"))
+
+
+# --- Calibrated confidence -----------------------------------------------------------------------
+
+_CURVE = f"""{_C},
+s AS (SELECT confidence, truth = predicted AS hit, supplier,
+        CAST(least(greatest(floor(round(confidence * 100, 9)), 0), 99) AS INTEGER) AS bin
+      FROM c WHERE confidence IS NOT NULL AND truth IS NOT NULL AND predicted IS NOT NULL),
+b AS (SELECT bin, count(*) AS n, count(*) FILTER (WHERE hit) AS good FROM s
+      WHERE CAST(substr(supplier, 2) AS BIGINT) % 2 = 0 GROUP BY bin),
+m AS (SELECT lo.bin AS a, hi.bin AS z, sum(b.good) / sum(b.n) AS share
+      FROM b lo JOIN b hi ON hi.bin >= lo.bin JOIN b ON b.bin BETWEEN lo.bin AND hi.bin GROUP BY lo.bin, hi.bin),
+v AS (SELECT bin, max(least_) AS value FROM (
+        SELECT b.bin, m.a, min(m.share) AS least_ FROM b JOIN m ON m.a <= b.bin AND m.z >= b.bin GROUP BY b.bin, m.a)
+      GROUP BY bin)"""
+
+
+def _hit() -> Column:
+    return F.col("truth") == F.col("predicted")
+
+
+def _half(spark: SparkSession, sf_dir: str, rest: int) -> DataFrame:
+    """Classified rows of every second supplier."""
+    return A.classified(spark, sf_dir).filter(F.substring("supplier", 2, 20).cast("bigint") % 2 == rest)
+
+
+@query("calibration_curve", f"WITH {_CURVE} SELECT bin, n, good AS right, round(value, 9) AS value FROM b JOIN v USING (bin)")
+def calibration_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Right ones and calibrated value per bin of confidence, by pooling adjacent violators."""
+    rows = _half(spark, sf_dir, 0)
+    curve = calibrate.fit(rows, "confidence", _hit())
+    held = calibrate.counts(rows, "confidence", _hit())
+    return held.withColumn("value", F.round(calibrate.calibrated((F.col("bin") + 0.5) / 100, curve), 9))
+
+
+_FAR = """SELECT sum(n) AS n, sum(n * far) / sum(n) AS error FROM (
+  SELECT count(*) AS n, abs(avg({0}) - avg(CAST(hit AS INTEGER))) AS far FROM t
+  GROUP BY least(greatest(floor(round({0} * 10, 9)), 0), 9))"""
+
+
+@query(
+    "calibration_error",
+    f"""WITH {_CURVE},
+    t AS (SELECT CAST(confidence AS DOUBLE) AS raw, value AS cal, hit FROM s JOIN v USING (bin)
+          WHERE CAST(substr(supplier, 2) AS BIGINT) % 2 = 1),
+    r AS ({_FAR.format("raw")}), k AS ({_FAR.format("cal")})
+    SELECT CAST(r.n AS BIGINT) AS n, round(r.error, 6) AS raw_error, round(k.error, 6) AS calibrated_error,
+           k.error < r.error AS better FROM r, k""",
+)
+def calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far confidence is from accuracy on rows that the curve has not seen, before and after."""
+    curve = calibrate.fit(_half(spark, sf_dir, 0), "confidence", _hit())
+    rows = _half(spark, sf_dir, 1)
+    raw = calibrate.error(rows, "confidence", _hit()).select("n", F.col("error").alias("raw"), F.lit(1).alias("one"))
+    after = calibrate.error(rows, calibrate.calibrated(F.col("confidence"), curve), _hit())
+    both = raw.join(after.select(F.col("error").alias("cal"), F.lit(1).alias("one")), "one")
+    return both.select(
+        "n", F.round("raw", 6).alias("raw_error"), F.round("cal", 6).alias("calibrated_error"),
+        (F.col("cal") < F.col("raw")).alias("better"),
+    )
