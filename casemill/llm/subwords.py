@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
-CACHE_WORDS, CACHE_PIECES = 1_000_000, 500_000
+CACHE_WORDS, CACHE_PIECES = 600_000, 300_000
 
 _BLANK = re.compile(r"(?<=\S)(?= \S)")
 # Runs of letters that need no look at Unicode tables, of digits, and of ASCII signs other

@@ -81,7 +81,7 @@ def test_each_share_rejects_what_lies_far_out_and_limits_follow_the_data(spark):
         odd |= {
             9000 + 10 * n: (" ".join(w + "#$" for w in fresh), lang), 9001 + 10 * n: (" ".join(fresh).upper(), lang),
             9002 + 10 * n: (" ".join(fresh[: size // 4]) + " " + " ".join(fresh), lang),
-            9003 + 10 * n: ("\n".join(f"{w}\n{w}" for w in fresh[::3]) + "\n" + rest, lang),
+            9003 + 10 * n: ("\n".join(f"{w}\n{w}\n{w}" for w in fresh[::3]) + "\n" + rest, lang),
         }
     rows += [(k, t, lang, "s0", 0) for k, (t, lang) in odd.items()]
     df = spark.createDataFrame(rows, SCHEMA)
