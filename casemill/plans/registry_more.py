@@ -13,7 +13,7 @@ from casemill.operators import rules as R
 from casemill.plans import adapters as A
 from casemill.plans import pipeline, reports
 from casemill.plans.registry import _C, _HASH, _OPTIONS, _RULED, _T, _masked, _quoted, query
-from casemill.session import scratch_path, stored
+from casemill.session import plan_bytes, scratch_path, stored
 from casemill.sources import readers, writers
 
 # --- Sources ----------------------------------------------------------------------
@@ -54,6 +54,10 @@ def vectors_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Stored bytes of documents per part of a written file.
+PART_BYTES = 32 << 20
+
+
 @query(
     "ingest_files",
     f"""WITH {_T}, m AS (SELECT case_id, subject, description || ' | ' || subject AS description,
@@ -62,14 +66,18 @@ def vectors_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT case_id, row_number() OVER (PARTITION BY {_HASH} ORDER BY file, ingest_seq) AS rn FROM m) WHERE rn = 1""",
 )
 def ingest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in three CSV files of unequal size: the first of equal rows is the one kept."""
+    """Documents in three CSV files of unequal size: the first of equal rows is the one kept.
+
+    Large ones are written in parts, in order, and all are read in splits.
+    """
     folder, raw = scratch_path(spark, "files"), A.tickets(spark, sf_dir)
     channel = F.col("channel")
     file = F.when(channel == "src7", "a").when(channel < "src2", "c").otherwise("b")
+    parts = plan_bytes(A.table(spark, sf_dir, "documents")) // PART_BYTES + 1
     for name in "cba":
-        part = raw.filter(file == name).repartition(1).sortWithinPartitions("ingest_seq").drop("ingest_seq")
-        writers.write_csv(part, f"{folder}/{name}.csv")
-    held = readers.read_tickets_csv(spark, f"{folder}/*.csv")
+        part = raw.filter(file == name).repartitionByRange(parts, "ingest_seq").sortWithinPartitions("ingest_seq")
+        writers.write_csv(part.drop("ingest_seq"), f"{folder}/{name}.csv")
+    held = readers.read_tickets_csv(spark, f"{folder}/*.csv", split=True, number="ingest_seq")
     return pipeline.ingest(held, f"{folder}/staged").select("case_id")
 
 
