@@ -39,6 +39,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
 
 
+def joined(c: Column) -> Column:
+    """The words of a text as one string, which a batch holds in little more than the text's bytes."""
+    return F.array_join(tokens(c), " ")
+
+
 def automaton(pairs: Sequence[tuple[str, str]]) -> dict:
     """The automaton of (phrase, label) pairs as arrays; node 0 is the beginning."""
     words: dict[str, int] = {}
@@ -140,13 +145,13 @@ def tagger(spark: SparkSession, phrases: DataFrame) -> Callable[[Column], Column
         for words in batches:
             yield pd.Series(
                 [
-                    None if w is None else [{"ent_text": m.phrases[p][0], "label": m.phrases[p][1]} for _, _, p in m.first(w)]
+                    None if w is None else [{"ent_text": m.phrases[p][0], "label": m.phrases[p][1]} for _, _, p in m.first(w.split())]
                     for w in words
                 ],
                 index=words.index, dtype=object,
             )
 
-    return lambda c: run(tokens(c))
+    return lambda c: run(joined(c))
 
 
 def entities(
@@ -164,7 +169,7 @@ def entities(
     if longest is not None:
         table = table.filter(F.size(F.split("phrase", " ")) <= longest)
     table = stored(table, "phrases")
-    texts = df.select(F.col(key).alias("key"), tokens(F.col(column)).alias("words"))
+    texts = df.select(F.col(key).alias("key"), joined(F.col(column)).alias("words"))
     kind = texts.schema["key"].dataType.simpleString()
     schema = f"key {kind}, pos long, ent_text string, label string"
 
@@ -177,11 +182,11 @@ def entities(
                 rows = [
                     (k, (i << 16) + (1 << 16) - 1 - n, *m.phrases[p])
                     for k, words in zip(batch["key"], batch["words"], strict=True) if words is not None
-                    for i, n, p in m.first(words)
+                    for i, n, p in m.first(words.split())
                 ]
                 yield pd.DataFrame(rows, columns=["key", "pos", "ent_text", "label"])
 
-        return texts.filter(F.size("words") > 0).mapInPandas(run, schema)
+        return texts.filter("words <> ''").mapInPandas(run, schema)
 
     if fits(table, most_phrases, MOST_BYTES):
         found = pass_over(table)

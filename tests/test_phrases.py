@@ -88,3 +88,14 @@ def test_a_list_that_does_not_fit_is_refused_by_the_tagger(spark, monkeypatch):
     table = spark.createDataFrame([("a", "ORG"), ("b", "ORG")], "phrase string, label string")
     with pytest.raises(ValueError, match="use entities"):
         P.tagger(spark, table)
+
+
+def test_a_batch_holds_texts_and_no_arrays_of_words(spark):
+    docs = spark.createDataFrame([("a", "the red  fox, the\tred fox"), ("b", " .,"), ("c", None)], "case_id string, text string")
+    phrases = spark.createDataFrame([("red fox", "X")], "phrase string, label string")
+    tag = P.tagger(spark, phrases)
+    tagged = docs.select("case_id", tag(F.col("text")).alias("e"))
+    found = {r["case_id"]: r["e"] and [tuple(e) for e in r["e"]] for r in tagged.collect()}
+    assert found == {"a": [("red fox", "X")], "b": [], "c": None}
+    for made in (tagged, P.entities(docs, phrases, "text")):
+        assert "array_join" in made._jdf.queryExecution().optimizedPlan().toString()
