@@ -26,10 +26,12 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casemill.functions import vectors as V
-from casemill.session import spread
+from casemill.operators import similar
+from casemill.session import spread, stored
 
 NEIGHBOURS = 15
 DIM = 5
@@ -103,6 +105,26 @@ def landmark_graph(vectors: DataFrame, neighbours: int = NEIGHBOURS, landmarks:
     return Graph(held["case_id"].tolist(), matrix, whole["a"].to_numpy(), whole["b"].to_numpy(), whole["w"].to_numpy() / 2)
 
 
+def neighbour_links(vectors: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """Links (a, b, weight) of every vector, not of landmarks only, by exact search; both directions."""
+    units = _units(vectors).filter(F.exists("v", lambda x: x != 0))
+    first = units.orderBy(F.xxhash64("case_id"), "case_id").limit(1).head()
+    dim = len(first["v"]) if first else 0
+    there = stored(units.filter(F.size("v") == dim).select("case_id", F.col("v").alias("embedding")), "units")
+    # One more than wanted, as a vector may be among its own nearest.
+    found = similar.nearest(there, there.withColumnRenamed("case_id", "query_id"), neighbours + 1)
+    others = found.filter(F.col("query_id") != F.col("case_id"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
+    weight = F.greatest("similarity", F.lit(LEAST)).alias("w")
+    near = stored(
+        others.withColumn("place", place).filter(F.col("place") <= neighbours)
+        .select(F.col("query_id").alias("a"), F.col("case_id").alias("b"), weight),
+        "near",
+    )
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    return both.groupBy("a", "b").agg((F.sum("w") / 2).alias("weight"))
+
+
 def _numbers(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(0, n, 1, max(1, min(2 * spark.sparkContext.defaultParallelism, n // 512)))
 

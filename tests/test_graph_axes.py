@@ -109,3 +109,18 @@ def test_odd_vectors(spark):
     rows = [(f"c{i}", [float(x) for x in v]) for i, v in enumerate(bent(30))] + [("zero", [0.0] * 24), ("null", None), ("short", [1.0]), ("empty", [])]
     found = {r["case_id"]: r["point"] for r in G.reduce_graph(spark.createDataFrame(rows, "case_id string, embedding array<float>")).collect()}
     assert found["zero"] == [0.0] * 5 and not {"null", "short", "empty"} & set(found) and len(found) == 31
+
+
+def test_links_of_every_vector_whatever_the_number_of_landmarks(spark, monkeypatch):
+    from casemill.plans import registry_scale as Q
+
+    matrix = bent(90)
+    matrix[20:40] = matrix[20]
+    rows = frame(spark, np.vstack([matrix, 0 * matrix[:1]])).repartition(3)
+    monkeypatch.setattr(Q.A, "vectors", lambda *_: rows)
+    monkeypatch.setattr(G.landmark_graph, "__defaults__", (G.NEIGHBOURS, 30))
+    wanted = plain_graph(matrix.astype(float), G.NEIGHBOURS)
+    found = np.zeros_like(wanted)
+    for r in Q.neighbour_graph(spark, "").collect():
+        found[int(r["a"][1:]), int(r["b"][1:])] = r["weight"]
+    assert np.allclose(found, wanted, atol=2e-6)
