@@ -154,6 +154,20 @@ def _best(scores: np.ndarray, asked: np.ndarray, ids: np.ndarray, k: int) -> pd.
     return _first_k(pd.DataFrame({"query": asked[q], "id": ids[row], "similarity": scores[q, row]}), k)
 
 
+def _at_least(
+    queries: np.ndarray, rows: bytes, asked: np.ndarray, ids: np.ndarray, edge: np.ndarray, k: int
+) -> pd.DataFrame:
+    """The rows of a block that reach each query's edge; of many, the k best of each."""
+    scores = _products(queries, rows)
+    # Only what may reach it once rounded is looked at.
+    q, row = np.nonzero(scores >= (edge - SLACK)[:, None])
+    if len(q) > 4 * k * len(asked):
+        return _best(np.round(scores, TIE_DECIMALS), asked, ids, k)
+    found = np.round(scores[q, row], TIE_DECIMALS)
+    there = found >= edge[q]
+    return pd.DataFrame({"query": asked[q[there]], "id": ids[row[there]], "similarity": found[there]})
+
+
 def _promising(index: Index, held: Broadcast) -> np.ndarray:
     """Per query the block whose farthest vector may be nearest; read from summaries only."""
 
@@ -199,8 +213,12 @@ def _reached(index: Index, held: Broadcast, block: np.ndarray) -> np.ndarray:
     return out
 
 
+def _products(queries: np.ndarray, rows: bytes) -> np.ndarray:
+    return queries @ np.frombuffer(rows).reshape(-1, queries.shape[1]).T
+
+
 def _scores(queries: np.ndarray, rows: bytes) -> np.ndarray:
-    return np.round(queries @ np.frombuffer(rows).reshape(-1, queries.shape[1]).T, TIE_DECIMALS)
+    return np.round(_products(queries, rows), TIE_DECIMALS)
 
 
 def _answers(index: Index, held: Broadcast, reached: np.ndarray, schema: str) -> DataFrame:
@@ -210,17 +228,31 @@ def _answers(index: Index, held: Broadcast, reached: np.ndarray, schema: str) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matrix, far, zero, names, k = held.value
         edge, best, pairs, done = sent.value.copy(), None, 0, 0
+        fresh: list[pd.DataFrame] = []
+
+        def merge() -> None:
+            nonlocal best
+            if not fresh:
+                return
+            best = _first_k(pd.concat([*([] if best is None else [best]), *fresh], ignore_index=True), k)
+            fresh.clear()
+            full = best.groupby("query")["similarity"].agg(["size", "min"])
+            full = full[full["size"] >= k]
+            edge[full.index] = np.maximum(edge[full.index], full["min"])
+
         for batch in batches:
             for pivot, low, high, ids, rows in batch.itertuples(index=False):
                 able = np.flatnonzero(_most_similar(far, zero, pivot, low, high) >= edge - SLACK)
                 pairs, done = pairs + len(far), done + len(able)
                 if not len(able):
                     continue
-                new = _best(_scores(matrix[able], rows), able, np.asarray(ids), k)
-                best = new if best is None else _first_k(pd.concat([best, new], ignore_index=True), k)
-                full = best.groupby("query")["similarity"].agg(["size", "min"])
-                full = full[full["size"] >= k]
-                edge[full.index] = np.maximum(edge[full.index], full["min"])
+                new = _at_least(matrix[able], rows, able, np.asarray(ids), edge[able], k)
+                if len(new):
+                    fresh.append(new)
+                # Edges rise where answers are merged, so it is done once they are as many as the answers.
+                if sum(map(len, fresh)) >= k * len(far):
+                    merge()
+        merge()
         if best is not None:
             yield pd.DataFrame({
                 "query_id": names[best["query"].to_numpy()], "case_id": best["id"].to_numpy(),

@@ -91,3 +91,20 @@ def test_long_query_sets_go_through_the_index(spark):
     corpus = clusters(120, seed=5)
     found = similar.nearest(frame(spark, corpus), frame(spark, corpus, "query_id"), 3, max_broadcast=10)
     assert ranks(found) == brute_force(corpus, corpus, 3)
+
+
+def test_a_block_below_the_edge_is_not_sorted(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows, queries = rng.normal(size=(50, 4)), rng.normal(size=(6, 4))
+    scores = np.round(queries @ rows.T, S.TIE_DECIMALS)
+    edge = np.sort(scores, axis=1)[:, -3]
+
+    def no_sort(*_):
+        raise AssertionError("sorted")
+
+    monkeypatch.setattr(S, "_best", no_sort)
+    monkeypatch.setattr(S, "_first_k", no_sort)
+    ids, asked = np.arange(100, 150), np.arange(10, 16)
+    found = S._at_least(queries, rows.tobytes(), asked, ids, edge, 3)
+    wanted = {(10 + q, 100 + r) for q, r in zip(*np.nonzero(scores >= edge[:, None]))}
+    assert set(zip(found["query"], found["id"])) == wanted and len(wanted) == 18
