@@ -174,3 +174,23 @@ def test_a_pattern_java_refuses_is_skipped(spark):
     held = [R.Rule("A", r"(x)?(?(1)y|a)", "A", "A", 1.0), R.Rule("B", "b", "B", "B", 1.0, rule_order=1)]
     assert R.apply_rules(df, held).head()["rule_id"] == "B"
     assert R.rule_stats(spark, held).head()["valid_patterns"] == 1
+
+
+@pytest.mark.parametrize("as_data", [False, True])
+def test_a_pattern_is_not_run_on_texts_without_its_literals(spark, as_data):
+    # Without that, the pattern tries some 2**40 ways to cut the first text.
+    rules = [R.Rule("E", r"(x+x+)+y stop|(x+x+)+z halt", "E", "E"), R.Rule("S", "x STOP", "S", "S", case_sensitive=True, rule_order=1)]
+    df = spark.createDataFrame([("1", "x" * 40), ("2", "xxY Stop"), ("3", "x STOP"), ("4", "XXZ HALT")], "case_id string, subject string")
+    out = R.apply_rules(df, rules, as_data=as_data)
+    assert {r["case_id"]: r["rule_id"] for r in out.collect()} == {"1": None, "2": "E", "3": "S", "4": "E"}
+
+
+@pytest.mark.parametrize("as_data", [False, True])
+def test_letters_that_fold_to_ascii_are_found(spark, as_data):
+    rules = [R.Rule("F", "kiss", "F", "F"), R.Rule("U", "straße", "U", "U", rule_order=1), R.Rule("X", "Kiss", "X", "X", case_sensitive=True, rule_order=2)]
+    texts = ["KISS", "kıſs", "KİSS", "STRASSE", "STRAßE", "kis"]
+    df = spark.createDataFrame([(t, t) for t in texts], "case_id string, subject string")
+    found = {r["case_id"]: r["rule_id"] for r in R.apply_rules(df, rules, as_data=as_data).collect()}
+    assert found == {"KISS": "F", "kıſs": "F", "KİSS": "F", "STRASSE": None, "STRAßE": "U", "kis": None}
+    assert R.all_matches(df, rules).count() == 4
+    assert {r["rule_id"]: r["hits"] for r in R.hit_rates(df, rules).collect()} == {"F": 3, "U": 1, "X": 0}
