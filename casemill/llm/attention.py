@@ -3,13 +3,19 @@
 An id belongs to one of ``CLASSES`` classes of about equal frequency, and to one of
 ``BUCKETS`` input buckets (the most frequent ids have one of their own). The probability
 of the next id is that of its class, which the network gives, times its smoothed share
-of the class's tokens in the corpus.
+of the class's tokens in the corpus. ``GROUP`` classes that follow each other make a group;
+a class has the probability of its group times its own within the group, so that what a
+target costs, in training and in scoring, is the groups and one group's classes.
 
-The network has one head: each input bucket has a query, a key, a value and a row of
-class logits; a position attends to itself and to earlier positions of its window, with
-a learned weight per distance; what it gathers moves the logits. Sequences are cut into
-windows of ``WIDTH`` targets that overlap by ``OVERLAP``; the overlap is context only, so
-every target is scored once, with at least that much before it unless the text has less.
+The network has one head: each input bucket has a query, a key, a value, a row of group
+logits and, for every group, a row of class logits; a position attends to itself and to
+earlier positions of its window, with a learned weight per distance; what it gathers moves
+the logits. Sequences are cut into windows of ``WIDTH`` targets that overlap by
+``OVERLAP``; the overlap is context only, so every target is scored once, with at least
+that much before it unless the text has less.
+
+Training is Adam; a batch moves the rows of those buckets, and of those buckets and groups,
+that it holds.
 """
 
 from __future__ import annotations
@@ -23,11 +29,13 @@ WIDTH = 16
 OVERLAP = 4
 SIZE = 16
 CLASSES = 128
+GROUP = 16
+GROUPS = CLASSES // GROUP
 BUCKETS = 4096
 OWN_BUCKETS = 3072
 
-#: Largest magnitude of each table, so that no exponential overflows.
-_BOUND = {"q": 2.5, "k": 2.5, "v": 5.0, "x": 10.0, "z": 1.0, "r": 5.0}
+#: Largest magnitude of each table, so that no exponential, and no sum of a row's, overflows.
+_BOUND = {"q": 2.5, "k": 2.5, "v": 5.0, "x": 10.0, "top": 10.0, "z": 0.9, "z_top": 0.9, "r": 5.0}
 
 
 class Vocabulary(NamedTuple):
@@ -72,15 +80,18 @@ def start(after: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Weights before training; ``after`` (counts of ``pairs``) gives the logits of each bucket."""
     rng = np.random.default_rng(1)
     table = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    logits = np.zeros((BUCKETS, CLASSES), np.float32)
+    top, logits = np.zeros((BUCKETS, GROUPS), np.float32), np.zeros((GROUPS, BUCKETS, GROUP), np.float32)
     if after is not None and after.any():
         n = after.reshape(BUCKETS, CLASSES).astype(np.float64)
         backing = n.sum(0) + 0.5
-        share = (n + 5 * backing / backing.sum()) / (n.sum(1, keepdims=True) + 5)
-        logits = np.maximum(np.log(share), -_BOUND["x"]).astype(np.float32)
+        share = ((n + 5 * backing / backing.sum()) / (n.sum(1, keepdims=True) + 5)).reshape(BUCKETS, GROUPS, GROUP)
+        whole = share.sum(2)
+        top = np.maximum(np.log(whole), -_BOUND["top"]).astype(np.float32)
+        inside = np.log(share / whole[..., None]).transpose(1, 0, 2)
+        logits = np.ascontiguousarray(np.maximum(inside, -_BOUND["x"]), np.float32)
     return {
-        "q": table(BUCKETS, SIZE), "k": table(BUCKETS, SIZE), "v": table(BUCKETS, SIZE), "x": logits,
-        "z": table(SIZE, CLASSES), "r": np.zeros(WIDTH, np.float32),
+        "q": table(BUCKETS, SIZE), "k": table(BUCKETS, SIZE), "v": table(BUCKETS, SIZE), "top": top, "x": logits,
+        "z": table(GROUPS, SIZE, GROUP), "z_top": table(SIZE, GROUPS), "r": np.zeros(WIDTH, np.float32),
     }
 
 
@@ -104,87 +115,191 @@ def _mask(r: np.ndarray) -> np.ndarray:
     return np.where(back >= 0, r[np.maximum(back, 0)], np.float32(-np.inf)).astype(np.float32)
 
 
-def _forward(table: np.ndarray, own: np.ndarray, z: np.ndarray, mask: np.ndarray, bucket: np.ndarray, skip: int = 0):
-    """Queries, keys and values, attention weights, gathered values, and class logits
-    behind the first ``skip`` places, of windows (rows of ``bucket``)."""
-    got = table[bucket]
+class Tables(NamedTuple):
+    """Query (scaled), key and value per bucket, group logits per bucket, class logits per
+    group and bucket, what moves them, and the mask; logits of unused classes are minus infinity."""
+
+    table: np.ndarray
+    top: np.ndarray
+    x: np.ndarray
+    z_top: np.ndarray
+    z: np.ndarray
+    mask: np.ndarray
+
+
+def joined(params: dict[str, np.ndarray], kinds: int = CLASSES) -> Tables:
+    """The tables behind the first ``kinds`` classes."""
+    scale = np.float32(SIZE**-0.5)
+    table = np.concatenate([params["q"] * scale, params["k"], params["v"]], 1)
+    top, x = params["top"].copy(), params["x"].copy()
+    used = (np.arange(CLASSES) < kinds).reshape(GROUPS, GROUP)
+    top[:, ~used.any(1)] = -np.inf
+    x.transpose(0, 2, 1)[~used] = -np.inf
+    return Tables(np.ascontiguousarray(table), top, x, params["z_top"], params["z"], _mask(params["r"]))
+
+
+def _attend(table: np.ndarray, mask: np.ndarray, bucket: np.ndarray):
+    """Queries, keys and values, attention weights and gathered values of windows (rows of ``bucket``)."""
+    got = table.take(bucket, 0)
     q, k, v = got[..., :SIZE], got[..., SIZE : 2 * SIZE], got[..., 2 * SIZE :]
     a = np.matmul(q, k.transpose(0, 2, 1))
     a += mask
     np.exp(a, out=a)
-    a *= 1 / a.sum(-1, keepdims=True)
-    gathered = np.matmul(a, v)
-    late = bucket[:, skip:]
-    logits = np.matmul(gathered[:, skip:].reshape(-1, SIZE), z)
-    logits += own[late.ravel()]
-    return got, a, gathered, logits.reshape(*late.shape, -1)
+    a *= 1 / np.matmul(a, np.ones((WIDTH, 1), np.float32))
+    return got, a, np.matmul(a, v)
 
 
-def joined(params: dict[str, np.ndarray], kinds: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A table of query (scaled), key and value per bucket, each bucket's logits for the
-    first ``kinds`` classes, their output matrix and the mask."""
-    scale = np.float32(SIZE**-0.5)
-    table = np.concatenate([params["q"] * scale, params["k"], params["v"]], 1)
-    x, z = (np.ascontiguousarray(params[name][:, :kinds]) for name in "xz")
-    return np.ascontiguousarray(table), x, z, _mask(params["r"])
+def _forward(table, top, x, z_top, z, mask, bucket: np.ndarray):
+    """As ``_attend``, with the log probabilities of all classes in use, places by classes."""
+    got, a, gathered = _attend(table, mask, bucket)
+    log_p = lambda logits: logits - np.log(np.exp(logits).sum(-1, keepdims=True))
+    lead = log_p(gathered @ z_top + top[bucket])
+    whole = [lead[..., g : g + 1] + log_p(gathered @ z[g] + x[g][bucket]) for g in np.flatnonzero(np.isfinite(top[0]))]
+    return got, a, gathered, np.concatenate(whole, -1)[..., : int(np.isfinite(x[:, 0]).sum())]
+
+
+def _by_cell(bucket: np.ndarray, kind: np.ndarray):
+    """Targets in the order of their cells (group, then bucket), their cells in that order, and
+    where each group of them begins and ends."""
+    cell = kind // GROUP * BUCKETS + bucket
+    # Numbers of two bytes are sorted by their digits.
+    order = np.argsort(cell.astype(np.uint16), kind="stable")
+    cell = cell.take(order)
+    return order, cell, np.searchsorted(cell, np.arange(GROUPS + 1) * BUCKETS)
+
+
+def _class_logits(x: np.ndarray, z: np.ndarray, gathered: np.ndarray, cell: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Logits of the classes of each target's group; targets are in the order of ``_by_cell``."""
+    logits = x.reshape(-1, GROUP).take(cell, 0)
+    for g in range(GROUPS):
+        some = slice(edges[g], edges[g + 1])
+        logits[some] += gathered[some] @ z[g]
+    return logits
+
+
+def _gains(tables: Tables, gathered: np.ndarray, bucket: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Log probability of each target's class (``kind``) behind its place (``gathered``, ``bucket``)."""
+    order, cell, edges = _by_cell(bucket, kind)
+    at = np.arange(len(kind))
+    logits = gathered @ tables.z_top
+    logits += tables.top.take(bucket, 0)
+    out = logits[at, kind // GROUP]
+    np.exp(logits, out=logits)
+    out -= np.log(logits @ np.ones(GROUPS, np.float32))
+    logits = _class_logits(tables.x, tables.z, gathered.take(order, 0), cell, edges)
+    inside = logits[at, kind.take(order) % GROUP]
+    np.exp(logits, out=logits)
+    out[order] += inside - np.log(logits @ np.ones(GROUP, np.float32))
+    return out
+
+
+def _softmax_loss(logits: np.ndarray, goal: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Derivative of the weighted loss by the logits, in their place."""
+    d = np.exp(logits, out=logits)
+    d *= (weight / (d @ np.ones(d.shape[1], np.float32)))[:, None]
+    d[np.arange(len(goal)), goal] -= weight
+    return d
+
+
+def _summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of sorted keys, and the sums of their rows of ``values``."""
+    begin = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
+    return key[begin], np.add.reduceat(values, begin)
+
+
+class _Adam:
+    """A table and its moments; a step moves some of its rows."""
+
+    def __init__(self, values: np.ndarray, bound):
+        self.values, self.bound = values, np.asarray(bound, np.float32)
+        self.first, self.second = np.zeros_like(values), np.zeros_like(values)
+
+    def step(self, rows: np.ndarray, g: np.ndarray, fade: np.float32) -> None:
+        first, second, values = (x.take(rows, 0) for x in (self.first, self.second, self.values))
+        first *= np.float32(0.9)
+        second *= np.float32(0.99)
+        g *= np.float32(0.1)
+        first += g
+        g *= g  # a hundredth of the square
+        second += g
+        self.first[rows], self.second[rows] = first, second
+        np.sqrt(second, out=second)
+        second += np.float32(1e-8)
+        first /= second
+        first *= fade
+        values -= first
+        np.minimum(values, self.bound, out=values)
+        np.maximum(values, -self.bound, out=values)
+        self.values[rows] = values
 
 
 def train(params: dict[str, np.ndarray], windows: Iterator[np.ndarray], vocab: Vocabulary, rate: float = 0.02):
     """Adam over batches of windows (rows of WIDTH + 1 ids, -1 behind a short text's end)."""
-    params = {k: v.astype(np.float32) for k, v in params.items()}
-    first = {k: np.zeros_like(v) for k, v in params.items()}
-    second = {k: np.zeros_like(v) for k, v in params.items()}
-    scale = SIZE**-0.5
+    scale = np.float32(SIZE**-0.5)
+    # One row per bucket: query, key, value, group logits.
+    own = _Adam(
+        np.concatenate([params[c] for c in ("q", "k", "v", "top")], 1).astype(np.float32),
+        np.repeat([_BOUND[c] for c in ("q", "k", "v", "top")], [SIZE, SIZE, SIZE, GROUPS]),
+    )
+    x = _Adam(params["x"].astype(np.float32).reshape(-1, GROUP), _BOUND["x"])
+    z, z_top, r = (_Adam(params[c].astype(np.float32), _BOUND[c]) for c in ("z", "z_top", "r"))
+    far = np.arange(WIDTH)[:, None] - np.arange(WIDTH)[None, :]
+    unused = (np.arange(CLASSES) >= vocab.kinds).reshape(GROUPS, GROUP)
+    earlier, ones = far >= 0, np.ones((WIDTH, 1), np.float32)
     for step, ids in enumerate(windows, 1):
         there = ids[:, 1:] >= 0
         safe = np.where(ids >= 0, ids, vocab.end)
-        bucket, goal = vocab.bucket[safe[:, :-1]], vocab.kind[safe[:, 1:]]
-        table, own, z, mask = joined(params)
-        got, a, gathered, logits = _forward(table, own, z, mask, bucket)
-        logits[..., vocab.kinds :] = -np.inf
-        logits -= logits.max(-1, keepdims=True)
-        d = np.exp(logits, out=logits)
-        d *= 1 / d.sum(-1, keepdims=True)
-        d.reshape(-1, CLASSES)[np.arange(goal.size), goal.ravel()] -= 1
-        d *= (there[..., None] / max(1, there.sum())).astype(np.float32)
-        q, k, v = got[..., :SIZE], got[..., SIZE : 2 * SIZE], got[..., 2 * SIZE :]
-        d_gathered = d @ z.T
-        d_a = np.matmul(d_gathered, v.transpose(0, 2, 1))
-        d_s = a * (d_a - (d_a * a).sum(-1, keepdims=True))
-        d_in = np.concatenate(
-            [np.matmul(d_s, k) * scale, np.matmul(d_s.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), d_gathered), d], -1
-        )
-        d_table = np.zeros((BUCKETS, d_in.shape[-1]), np.float32)
-        order = np.argsort(bucket.ravel(), kind="stable")
-        used, begin = np.unique(bucket.ravel()[order], return_index=True)
-        d_table[used] = np.add.reduceat(d_in.reshape(-1, d_in.shape[-1])[order], begin)
-        back = np.arange(WIDTH)[:, None] - np.arange(WIDTH)[None, :]
+        bucket, goal = vocab.bucket.take(safe[:, :-1]), vocab.kind.take(safe[:, 1:]).ravel()
+        weight = (there.ravel() / max(1, there.sum())).astype(np.float32)
+        got = own.values.take(bucket, 0)
+        q, k, v = got[..., :SIZE], got[..., SIZE : 2 * SIZE], got[..., 2 * SIZE : 3 * SIZE]
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        a *= scale
+        a += _mask(r.values)
+        np.exp(a, out=a)
+        a *= 1 / np.matmul(a, ones)
+        gathered = np.matmul(a, v)
+        rows = gathered.reshape(-1, SIZE)
+        order, cell, edges = _by_cell(bucket.ravel(), goal)
+        late, back = rows.take(order, 0), np.empty_like(order)
+        back[order] = np.arange(len(order))
+        d_top = rows @ z_top.values
+        d_top += got[..., 3 * SIZE :].reshape(-1, GROUPS)
+        d_top[:, unused.all(1)] = -np.inf
+        d_top = _softmax_loss(d_top, goal // GROUP, weight)
+        d_x = _class_logits(x.values, z.values, late, cell, edges)
+        if unused.any():
+            d_x[unused[cell // BUCKETS]] = -np.inf
+        d_x = _softmax_loss(d_x, goal.take(order) % GROUP, weight.take(order))
+        d_z, d_late = np.empty_like(z.values), np.empty_like(late)
+        for g in range(GROUPS):
+            some = slice(edges[g], edges[g + 1])
+            np.matmul(late[some].T, d_x[some], out=d_z[g])
+            np.matmul(d_x[some], z.values[g].T, out=d_late[some])
+        d_gathered = d_late.take(back, 0)
+        d_gathered += d_top @ z_top.values.T
+        d_gathered = d_gathered.reshape(gathered.shape)
+        d_s = np.matmul(d_gathered, v.transpose(0, 2, 1))
+        d_s -= np.matmul(d_s * a, ones)
+        d_s *= a
         both = d_s.sum(0)
-        grads = {
-            "q": d_table[:, :SIZE], "k": d_table[:, SIZE : 2 * SIZE], "v": d_table[:, 2 * SIZE : 3 * SIZE],
-            "x": d_table[:, 3 * SIZE :],
-            "z": gathered.reshape(-1, SIZE).T @ d.reshape(-1, CLASSES),
-            "r": np.array([both[back == i].sum() for i in range(WIDTH)]),
-        }
-        fade = rate * np.float32(np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
-        for name, g in grads.items():
-            g = g.astype(np.float32)
-            first[name] *= np.float32(0.9)
-            first[name] += np.float32(0.1) * g
-            np.square(g, out=g)
-            g *= np.float32(0.01)
-            second[name] *= np.float32(0.99)
-            second[name] += g
-            np.sqrt(second[name], out=g)
-            g += np.float32(1e-8)
-            np.divide(first[name], g, out=g)
-            g *= fade
-            params[name] -= g
-            np.clip(params[name], -_BOUND[name], _BOUND[name], out=params[name])
-    return params
-
-
-def score(sequences: list[np.ndarray], tables, vocab: Vocabulary, batch: int = 128) -> np.ndarray:
+        d_s *= scale
+        d_in = np.concatenate(
+            [np.matmul(d_s, k), np.matmul(d_s.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), d_gathered),
+             d_top.reshape(*bucket.shape, GROUPS)], -1,
+        ).reshape(-1, own.values.shape[1])
+        by_bucket = np.argsort(bucket.ravel().astype(np.uint16), kind="stable")
+        fade = np.float32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
+        own.step(*_summed(bucket.ravel().take(by_bucket), d_in.take(by_bucket, 0)), fade)
+        x.step(*_summed(cell, d_x), fade)
+        z.step(np.arange(GROUPS), d_z, fade)
+        z_top.step(np.arange(SIZE), rows.T @ d_top, fade)
+        r.step(np.arange(WIDTH), np.bincount(far[earlier], weights=both[earlier]).astype(np.float32), fade)
+    done = dict(zip(("q", "k", "v", "top"), np.split(own.values, np.arange(1, 4) * SIZE, 1), strict=True))
+    return done | {"x": x.values.reshape(GROUPS, BUCKETS, GROUP), "z": z.values, "z_top": z_top.values, "r": r.values}
+
+
+def score(sequences: list[np.ndarray], tables, vocab: Vocabulary, batch: int = 256) -> np.ndarray:
     """log10 of the probability of each sequence of ids, its end included."""
     lengths = np.array([len(s) + 1 for s in sequences], np.int64)
     gap = np.array([vocab.end])
@@ -198,15 +313,14 @@ def score(sequences: list[np.ndarray], tables, vocab: Vocabulary, batch: int = 1
     bucket, kind, share = vocab.bucket[row], vocab.kind[row], vocab.share[row]
     # Each target's share of its class needs no window. The end of text d stands where d + 1 begins.
     out = np.add.reduceat(share[1 : lengths.sum() + 1], first) if len(lengths) else np.zeros(0)
-    heads, ones = np.flatnonzero(nth == 0), np.ones(vocab.kinds, np.float32)
+    heads = np.flatnonzero(nth == 0)
     for some, skip in ((heads, 0), (np.flatnonzero(nth > 0), OVERLAP)):
         for b in range(0, len(some), batch):
             part = some[b : b + batch]
             at = begin[part][:, None] + np.arange(WIDTH)
-            logits = _forward(*tables, bucket[at], skip)[3].reshape(-1, vocab.kinds)
-            chosen = logits[np.arange(len(logits)), kind[at[:, skip:].ravel() + 1]]
-            np.exp(logits, out=logits)
-            gain = (chosen - np.log(np.matmul(logits, ones))).reshape(len(part), -1)
+            gathered = _attend(tables.table, tables.mask, bucket[at])[2][:, skip:].reshape(-1, SIZE)
+            late = at[:, skip:].ravel()
+            gain = _gains(tables, gathered, bucket[late], kind[late + 1]).reshape(len(part), -1)
             valid = np.arange(skip, WIDTH)[None, :] < left[part][:, None]
             gained = np.where(valid, gain, 0).sum(1, dtype=np.float64)
             out += np.bincount(doc[part], weights=gained, minlength=len(out)) / np.log(10)

@@ -114,3 +114,41 @@ def test_every_id_is_a_target_once_a_round():
             assert sorted(targets.tolist()) == [*range(n), 9999]
             assert all(b == a + 1 for row in found for a, b in zip(row, row[1:], strict=False) if 0 <= a < 9999 and 0 <= b < 9999)
     assert not np.array_equal(lm._windows(ids, 9999, 0, 500), lm._windows(ids, 9999, 1, 500))
+
+
+def test_first_step_goes_down_the_slope(small):
+    texts, vocab = small
+    ids = np.concatenate([lm._windows(t.astype(np.int32), 40, 0, i) for i, t in enumerate(texts)])
+    begin = A.start(np.random.default_rng(2).integers(0, 9, A.BUCKETS * A.CLASSES))
+    moved = A.train(begin, iter([ids]), vocab, 0.01)
+    safe, there = np.where(ids >= 0, ids, 40), ids[:, 1:] >= 0
+
+    def loss(params):
+        logits = A._forward(*A.joined(params, vocab.kinds), vocab.bucket[safe[:, :-1]])[3].astype(float)
+        gain = np.take_along_axis(logits, vocab.kind[safe[:, 1:]][..., None], -1)[..., 0] - np.log(np.exp(logits).sum(-1))
+        return -gain[there].mean()
+
+    for name in begin:
+        steps = (moved[name] - begin[name]).astype(float)
+        rng = np.random.default_rng(3)
+        some = rng.permutation(np.flatnonzero(np.abs(steps) > 1e-3))[:6]
+        assert len(some)
+        for at in some:
+            sides = []
+            for side in (0.05, -0.05):
+                other = {k: v.copy() for k, v in begin.items()}
+                other[name].flat[at] += side
+                sides.append(loss(other))
+            slope = sides[0] - sides[1]
+            assert slope * steps.flat[at] < 1e-7, name
+
+
+def test_a_batch_moves_only_the_rows_it_holds(small):
+    _, vocab = small
+    one, two = (np.tile(np.arange(17, dtype=np.int32) % 3 + k, (4, 1)) for k in (0, 20))
+    before = A.train(A.start(), iter([one]), vocab)
+    after = A.train(A.start(), iter([one, two]), vocab)
+    held = vocab.bucket[np.unique(one)]
+    for name in "qkv":
+        assert np.array_equal(before[name][held], after[name][held])
+        assert not np.array_equal(before[name], after[name])
