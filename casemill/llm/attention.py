@@ -142,13 +142,19 @@ def _attend(table: np.ndarray, mask: np.ndarray, bucket: np.ndarray):
     """Queries, keys and values, attention weights and gathered values of windows (rows of ``bucket``)."""
     got = table.take(bucket, 0)
     q, k, v = got[..., :SIZE], got[..., SIZE : 2 * SIZE], got[..., 2 * SIZE :]
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a += mask
-    np.exp(a, out=a)
-    a *= 1 / np.matmul(a, np.ones((WIDTH, 1), np.float32))
+    a = _weights(np.matmul(q, k.transpose(0, 2, 1)), mask)
     return got, a, np.matmul(a, v)
 
 
+def _weights(a: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Attention weights from products of queries and keys, in their place."""
+    by_window, by_place = a.reshape(len(a), -1), a.reshape(-1, WIDTH)
+    by_window += mask.ravel()
+    np.exp(by_window, out=by_window)
+    by_place *= (1 / (by_place @ np.ones(WIDTH, np.float32)))[:, None]
+    return a
+
+
 def _forward(table, top, x, z_top, z, mask, bucket: np.ndarray):
     """As ``_attend``, with the log probabilities of all classes in use, places by classes."""
     got, a, gathered = _attend(table, mask, bucket)
@@ -183,11 +189,11 @@ def _gains(tables: Tables, gathered: np.ndarray, bucket: np.ndarray, kind: np.nd
     at = np.arange(len(kind))
     logits = gathered @ tables.z_top
     logits += tables.top.take(bucket, 0)
-    out = logits[at, kind // GROUP]
+    out = logits.ravel().take(at * GROUPS + kind // GROUP)
     np.exp(logits, out=logits)
     out -= np.log(logits @ np.ones(GROUPS, np.float32))
     logits = _class_logits(tables.x, tables.z, gathered.take(order, 0), cell, edges)
-    inside = logits[at, kind.take(order) % GROUP]
+    inside = logits.ravel().take(at * GROUP + kind.take(order) % GROUP)
     np.exp(logits, out=logits)
     out[order] += inside - np.log(logits @ np.ones(GROUP, np.float32))
     return out
@@ -197,14 +203,15 @@ def _softmax_loss(logits: np.ndarray, goal: np.ndarray, weight: np.ndarray) -> n
     """Derivative of the weighted loss by the logits, in their place."""
     d = np.exp(logits, out=logits)
     d *= (weight / (d @ np.ones(d.shape[1], np.float32)))[:, None]
-    d[np.arange(len(goal)), goal] -= weight
+    d.ravel()[np.arange(len(goal)) * d.shape[1] + goal] -= weight
     return d
 
 
 def _summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different ones of sorted keys, and the sums of their rows of ``values``."""
     begin = np.append(0, np.flatnonzero(key[1:] != key[:-1]) + 1)
-    return key[begin], np.add.reduceat(values, begin)
+    # Columns are summed one by one; two of them make one of complex numbers.
+    return key[begin], np.add.reduceat(values.view(np.complex64), begin).view(np.float32)
 
 
 class _Adam:
@@ -216,20 +223,19 @@ class _Adam:
 
     def step(self, rows: np.ndarray, g: np.ndarray, fade: np.float32) -> None:
         first, second, values = (x.take(rows, 0) for x in (self.first, self.second, self.values))
+        # The moments are kept ten and a hundred times as large, which their quotient cancels.
         first *= np.float32(0.9)
         second *= np.float32(0.99)
-        g *= np.float32(0.1)
         first += g
-        g *= g  # a hundredth of the square
+        g *= g
         second += g
         self.first[rows], self.second[rows] = first, second
         np.sqrt(second, out=second)
-        second += np.float32(1e-8)
+        second += np.float32(1e-7)
         first /= second
         first *= fade
         values -= first
-        np.minimum(values, self.bound, out=values)
-        np.maximum(values, -self.bound, out=values)
+        np.clip(values, -self.bound, self.bound, out=values)
         self.values[rows] = values
 
 
@@ -242,10 +248,17 @@ def train(params: dict[str, np.ndarray], windows: Iterator[np.ndarray], vocab: V
         np.repeat([_BOUND[c] for c in ("q", "k", "v", "top")], [SIZE, SIZE, SIZE, GROUPS]),
     )
     x = _Adam(params["x"].astype(np.float32).reshape(-1, GROUP), _BOUND["x"])
-    z, z_top, r = (_Adam(params[c].astype(np.float32), _BOUND[c]) for c in ("z", "z_top", "r"))
+    # The small tables in one row; each is a part of it.
+    small = [params[c].astype(np.float32) for c in ("z", "z_top", "r")]
+    rest = _Adam(
+        np.concatenate([s.ravel() for s in small]), np.repeat([_BOUND[c] for c in ("z", "z_top", "r")], [s.size for s in small])
+    )
+    parts = np.split(rest.values, np.cumsum([s.size for s in small])[:-1])
+    z, z_top, r = (part.reshape(s.shape) for part, s in zip(parts, small, strict=True))
+    all_rest = np.arange(len(rest.values))
     far = np.arange(WIDTH)[:, None] - np.arange(WIDTH)[None, :]
     unused = (np.arange(CLASSES) >= vocab.kinds).reshape(GROUPS, GROUP)
-    earlier, ones = far >= 0, np.ones((WIDTH, 1), np.float32)
+    earlier = far >= 0
     for step, ids in enumerate(windows, 1):
         there = ids[:, 1:] >= 0
         safe = np.where(ids >= 0, ids, vocab.end)
@@ -255,48 +268,51 @@ def train(params: dict[str, np.ndarray], windows: Iterator[np.ndarray], vocab: V
         q, k, v = got[..., :SIZE], got[..., SIZE : 2 * SIZE], got[..., 2 * SIZE : 3 * SIZE]
         a = np.matmul(q, k.transpose(0, 2, 1))
         a *= scale
-        a += _mask(r.values)
-        np.exp(a, out=a)
-        a *= 1 / np.matmul(a, ones)
+        _weights(a, _mask(r))
         gathered = np.matmul(a, v)
         rows = gathered.reshape(-1, SIZE)
         order, cell, edges = _by_cell(bucket.ravel(), goal)
         late, back = rows.take(order, 0), np.empty_like(order)
         back[order] = np.arange(len(order))
-        d_top = rows @ z_top.values
+        d_top = rows @ z_top
         d_top += got[..., 3 * SIZE :].reshape(-1, GROUPS)
-        d_top[:, unused.all(1)] = -np.inf
+        if unused.any():
+            d_top[:, unused.all(1)] = -np.inf
         d_top = _softmax_loss(d_top, goal // GROUP, weight)
-        d_x = _class_logits(x.values, z.values, late, cell, edges)
+        d_x = _class_logits(x.values, z, late, cell, edges)
         if unused.any():
             d_x[unused[cell // BUCKETS]] = -np.inf
         d_x = _softmax_loss(d_x, goal.take(order) % GROUP, weight.take(order))
-        d_z, d_late = np.empty_like(z.values), np.empty_like(late)
+        d_z, d_late = np.empty_like(z), np.empty_like(late)
         for g in range(GROUPS):
             some = slice(edges[g], edges[g + 1])
             np.matmul(late[some].T, d_x[some], out=d_z[g])
-            np.matmul(d_x[some], z.values[g].T, out=d_late[some])
+            np.matmul(d_x[some], z[g].T, out=d_late[some])
         d_gathered = d_late.take(back, 0)
-        d_gathered += d_top @ z_top.values.T
+        d_gathered += d_top @ z_top.T
+        # What the softmax takes off: the sum of a row of weights times their derivatives.
+        taken = np.einsum("ij,ij->i", d_gathered, rows)
         d_gathered = d_gathered.reshape(gathered.shape)
         d_s = np.matmul(d_gathered, v.transpose(0, 2, 1))
-        d_s -= np.matmul(d_s * a, ones)
+        by_place = d_s.reshape(-1, WIDTH)
+        by_place -= taken[:, None]
         d_s *= a
-        both = d_s.sum(0)
+        both = (np.ones(len(d_s), np.float32) @ d_s.reshape(len(d_s), -1)).reshape(WIDTH, WIDTH)
         d_s *= scale
-        d_in = np.concatenate(
-            [np.matmul(d_s, k), np.matmul(d_s.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), d_gathered),
-             d_top.reshape(*bucket.shape, GROUPS)], -1,
-        ).reshape(-1, own.values.shape[1])
+        d_in = np.empty_like(got)
+        np.matmul(d_s, k, out=d_in[..., :SIZE])
+        np.matmul(d_s.transpose(0, 2, 1), q, out=d_in[..., SIZE : 2 * SIZE])
+        np.matmul(a.transpose(0, 2, 1), d_gathered, out=d_in[..., 2 * SIZE : 3 * SIZE])
+        d_in = d_in.reshape(-1, own.values.shape[1])
+        d_in[:, 3 * SIZE :] = d_top
         by_bucket = np.argsort(bucket.ravel().astype(np.uint16), kind="stable")
         fade = np.float32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
         own.step(*_summed(bucket.ravel().take(by_bucket), d_in.take(by_bucket, 0)), fade)
         x.step(*_summed(cell, d_x), fade)
-        z.step(np.arange(GROUPS), d_z, fade)
-        z_top.step(np.arange(SIZE), rows.T @ d_top, fade)
-        r.step(np.arange(WIDTH), np.bincount(far[earlier], weights=both[earlier]).astype(np.float32), fade)
+        d_r = np.bincount(far[earlier], weights=both[earlier]).astype(np.float32)
+        rest.step(all_rest, np.concatenate([d_z.ravel(), (rows.T @ d_top).ravel(), d_r]), fade)
     done = dict(zip(("q", "k", "v", "top"), np.split(own.values, np.arange(1, 4) * SIZE, 1), strict=True))
-    return done | {"x": x.values.reshape(GROUPS, BUCKETS, GROUP), "z": z.values, "z_top": z_top.values, "r": r.values}
+    return done | {"x": x.values.reshape(GROUPS, BUCKETS, GROUP), "z": z, "z_top": z_top, "r": r}
 
 
 def score(sequences: list[np.ndarray], tables, vocab: Vocabulary, batch: int = 256) -> np.ndarray:
@@ -318,9 +334,9 @@ def score(sequences: list[np.ndarray], tables, vocab: Vocabulary, batch: int = 2
         for b in range(0, len(some), batch):
             part = some[b : b + batch]
             at = begin[part][:, None] + np.arange(WIDTH)
-            gathered = _attend(tables.table, tables.mask, bucket[at])[2][:, skip:].reshape(-1, SIZE)
+            gathered = _attend(tables.table, tables.mask, bucket.take(at))[2][:, skip:].reshape(-1, SIZE)
             late = at[:, skip:].ravel()
-            gain = _gains(tables, gathered, bucket[late], kind[late + 1]).reshape(len(part), -1)
+            gain = _gains(tables, gathered, bucket.take(late), kind.take(late + 1)).reshape(len(part), -1)
             valid = np.arange(skip, WIDTH)[None, :] < left[part][:, None]
             gained = np.where(valid, gain, 0).sum(1, dtype=np.float64)
             out += np.bincount(doc[part], weights=gained, minlength=len(out)) / np.log(10)

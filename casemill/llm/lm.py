@@ -66,18 +66,28 @@ def _bucket_bits(size: int) -> int:
 
 
 def _windows(ids: np.ndarray, end: int, which: int, seed: int) -> np.ndarray:
-    """Runs of WIDTH + 1 ids that tile a text with the end before and behind it; -1 fills up.
+    """``_tiles`` of one text."""
+    return _tiles([ids], end, which, [seed])
 
-    Every id, and the end behind, is a target once; ``seed`` and the round ``which`` give
+
+def _tiles(texts: list[np.ndarray], end: int, which: int, seeds: list[int]) -> np.ndarray:
+    """Runs of WIDTH + 1 ids that tile each text with the end before and behind it; -1 fills up.
+
+    Every id, and the end behind, is a target once; a text's seed and the round ``which`` give
     the length of the first run, so that rounds cut at other places.
     """
-    width, last = attention.WIDTH, len(ids) + 1
-    row = np.full(last + 1, end, np.int32)
-    row[1:-1] = ids
-    first = 1 + ((seed * 31 + which + 1) * 0x9E3779B97F4A7C15 >> 17) % width
-    begin = np.append(0, np.arange(first, last, width))
-    at = begin[:, None] + np.arange(width + 1)
-    return np.where(at <= np.append(begin[1:], last)[:, None], row[np.minimum(at, last)], np.int32(-1))
+    width, gap = attention.WIDTH, np.array([end], np.int32)
+    row = np.concatenate([x for ids in texts for x in (gap, ids, gap)]).astype(np.int32, copy=False)
+    last = np.array([len(ids) + 1 for ids in texts])
+    first = np.array([1 + ((s * 31 + which + 1) * 0x9E3779B97F4A7C15 >> 17) % width for s in seeds])
+    runs = 1 + np.maximum(0, -(-(last - first) // width))
+    nth = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    first, stop, base = (np.repeat(x, runs) for x in (first, last, np.cumsum(last + 1) - last - 1))
+    begin = np.where(nth > 0, first + (nth - 1) * width, 0)
+    stop = np.minimum(stop, first + nth * width)
+    found = row.take((base + begin)[:, None] + np.arange(width + 1), mode="clip")
+    found[np.arange(width + 1) > (stop - begin)[:, None]] = -1
+    return found
 
 
 def prepare(
@@ -139,8 +149,10 @@ def _chunk(slab, chunk, e, bits) -> Iterator[pa.RecordBatch]:
     begin = w.first[:-1][w.per_doc > 0]
     steps[begin] = place[order][begin]
     places = np.split(steps.astype(np.uint32), w.first[1:-1]) if size else []
-    lowered = (b.translate(_TO_WORDS).decode() for b in slab.column("t").fill_null("").cast(pa.binary()).to_pylist())
-    ids = [e.encode_words([x for x in t.split(" ") if x]) for t in lowered]
+    some = np.empty(len(known), np.int64)
+    some[place] = np.arange(len(place))
+    data, begin, stop = X.raw(slab.column("t"))[0].tobytes().translate(_TO_WORDS), w.start[some], (w.start + w.size)[some]
+    ids = e.encode_rows([data[a:b].decode() for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], place, w.per_doc)
     yield _record(size, {
         "kind": ["text"] * size, "chunk": [chunk] * size, "n": range(size), "k": slab.column("k"),
         "train": slab.column("train"), "n_words": w.per_doc.astype(np.int32), "places": [p.tobytes() for p in places],
@@ -199,7 +211,7 @@ def word_totals(chunks: DataFrame) -> DataFrame:
 
 
 def _answers(chunks: DataFrame, totals: DataFrame) -> DataFrame:
-    """chunk, bucket and the corpus counts of the chunk's words of that bucket.
+    """chunk, bucket, the corpus counts of the chunk's words of that bucket, and how many they are.
 
     A bucket's totals come first, then the chunks that ask for them, one by one.
     """
@@ -209,7 +221,7 @@ def _answers(chunks: DataFrame, totals: DataFrame) -> DataFrame:
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            out = [], [], []
+            out = [], [], [], []
             columns = (batch.column(c).to_pylist() for c in ("bucket", "chunk", "words", "counts"))
             for b, chunk, h, c in zip(*columns, strict=True):
                 if chunk is None:
@@ -219,13 +231,14 @@ def _answers(chunks: DataFrame, totals: DataFrame) -> DataFrame:
                 out[0].append(chunk)
                 out[1].append(b)
                 out[2].append(found.astype(np.uint32 if found.max(initial=0) < 1 << 32 else np.uint64).tobytes())
+                out[3].append(len(found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())],
-                names=["chunk", "bucket", "found"],
+                [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int32()), strict=True)],
+                names=["chunk", "bucket", "found", "size"],
             )
 
     dealt = known.unionByName(asked).repartition("bucket").sortWithinPartitions("bucket", F.col("chunk").asc_nulls_first())
-    return dealt.mapInArrow(answer, "chunk long, bucket int, found binary")
+    return dealt.mapInArrow(answer, "chunk long, bucket int, found binary, size int")
 
 
 def unigram(texts: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -243,8 +256,8 @@ def unigram(texts: DataFrame, chunks: DataFrame) -> DataFrame:
     def sum_up(key, answers: pa.Table, rows: pa.Table) -> pa.Table:
         answers = answers.sort_by("bucket")
         # A chunk's words are in hash order and buckets are leading bits, so parts join up.
-        n_words, found = pa_lengths(answers), [np.zeros(0, np.float64)]
-        for b, n in zip(answers.column("found").to_pylist(), n_words, strict=True):
+        found = [np.zeros(0, np.float64)]
+        for b, n in zip(answers.column("found").to_pylist(), answers.column("size").to_pylist(), strict=True):
             found.append(np.frombuffer(b, np.uint64 if len(b) == 8 * n else np.uint32).astype(np.float64))
         count = np.concatenate(found)
         score, known = [], []
@@ -258,13 +271,7 @@ def unigram(texts: DataFrame, chunks: DataFrame) -> DataFrame:
             "train_tokens": pa.array([tokens] * len(known), pa.int64()), "base_score": pa.array(score, pa.float64()),
         })
 
-    def pa_lengths(answers: pa.Table) -> list[int]:
-        return answers.column("size").to_pylist()
-
-    answers = _answers(chunks, totals)
-    sizes = chunks.select("chunk", "bucket", (F.octet_length("words") / 8).cast("int").alias("size"))
-    answers = answers.join(sizes, ["chunk", "bucket"])
-    dealt = answers.groupBy("chunk").cogroup(texts.select("chunk", "n", "places").groupBy("chunk"))
+    dealt = _answers(chunks, totals).groupBy("chunk").cogroup(texts.select("chunk", "n", "places").groupBy("chunk"))
     return dealt.applyInArrow(sum_up, "chunk long, n int, n_known long, train_tokens long, base_score double")
 
 
@@ -295,7 +302,7 @@ def id_counts(texts: DataFrame, end: int) -> np.ndarray:
 
 
 def _slices(values: np.ndarray, n: int) -> pa.RecordBatch:
-    parts = np.array_split(values.astype(np.float64), SLICES)
+    parts = np.array_split(values, SLICES)
     return pa.RecordBatch.from_arrays(
         [pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([n] * SLICES, pa.int64())],
         names=["slice", "numbers", "n"],
@@ -305,15 +312,15 @@ def _slices(values: np.ndarray, n: int) -> pa.RecordBatch:
 _SLICE = "slice int, numbers binary, n long"
 
 
-def _summed(rows: DataFrame) -> tuple[np.ndarray, int]:
-    """The sum of arrays that many tasks gave in slices; the driver gets one array."""
+def _summed(rows: DataFrame, dtype: type) -> tuple[np.ndarray, int]:
+    """The sum of arrays that many tasks gave in slices, each ``n`` times; the driver gets one array."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
             for s, b, n in zip(*(batch.column(c).to_pylist() for c in ("slice", "numbers", "n")), strict=True):
                 got = sums.setdefault(s, [0.0, 0])
-                got[0], got[1] = got[0] + np.frombuffer(b, np.float64), got[1] + n
+                got[0], got[1] = got[0] + np.frombuffer(b, dtype).astype(np.float64) * n, got[1] + n
         if sums:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(sums), pa.int32()), pa.array([v[0].tobytes() for v in sums.values()], pa.binary()),
@@ -341,7 +348,7 @@ def pair_counts(texts: DataFrame, vocab: attention.Vocabulary) -> np.ndarray:
                 total += attention.pairs(np.concatenate([x for r in rows for x in (gap, r)] + [gap]), v)
         yield _slices(total, 1)
 
-    return _summed(texts.filter("train").select("ids").coalesce(MOST_TASKS).mapInArrow(count, _SLICE))[0]
+    return _summed(texts.filter("train").select("ids").coalesce(MOST_TASKS).mapInArrow(count, _SLICE), np.float64)[0]
 
 
 def fit(texts: DataFrame, vocab: attention.Vocabulary, rounds: int = ROUNDS, batch_rows: int = TRAIN_BATCH):
@@ -362,8 +369,8 @@ def fit(texts: DataFrame, vocab: attention.Vocabulary, rounds: int = ROUNDS, bat
                 kept = np.zeros((0, attention.WIDTH + 1), np.int32)
                 for whole in batches:
                     for batch in X.slabs(whole, "ids"):
-                        cut = [_windows(np.frombuffer(b, dtype), vocab.end, r, zlib.crc32(b)) for b in batch.column("ids").to_pylist()]
-                        found = np.concatenate(cut)
+                        rows = batch.column("ids").to_pylist()
+                        found = _tiles([np.frombuffer(b, dtype) for b in rows], vocab.end, r, [zlib.crc32(b) for b in rows])
                         # Neighbouring windows of a text do not fill a batch of their own.
                         kept = np.concatenate([kept, found[np.random.default_rng(r).permutation(len(found))]])
                         full = len(kept) - len(kept) % batch_rows
@@ -377,9 +384,9 @@ def fit(texts: DataFrame, vocab: attention.Vocabulary, rounds: int = ROUNDS, bat
 
             got = attention.train(begin, windows(), vocab, RATE)
             if n:
-                yield _slices(attention.flat(got).astype(np.float64) * n, n)
+                yield _slices(attention.flat(got), n)
 
-        total, n = _summed(seen.mapInArrow(learn, _SLICE))
+        total, n = _summed(seen.mapInArrow(learn, _SLICE), np.float32)
         if n:
             params = attention.unflat(total / n)
     return params

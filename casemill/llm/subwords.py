@@ -62,7 +62,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         e = self.encoder
-        found = array(e.code, [x.id for x in e.tokenizer.model.tokenize(piece.translate(e.letters))]).tobytes()
+        found = array(e.code, [x.id for x in e.model.tokenize(piece.translate(e.letters))]).tobytes()
         if len(self) < CACHE_PIECES:
             self[piece] = found
         return found
@@ -95,6 +95,7 @@ class Encoder:
             and not (model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"))
         )
         self.letters = _Letters(self.tokenizer)
+        self.model = self.tokenizer.model
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.pieces = _Pieces(self)
         self.first, self.later = _Ids(self, ""), _Ids(self, " ")
@@ -113,6 +114,8 @@ class Encoder:
             return self._bytes(self.tokenizer.encode(lead + word, add_special_tokens=False).ids)
 
     def word(self, lead: str, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.pieces[lead + word]
         if not _PLAIN.fullmatch(word):
             return self._bytes(self.tokenizer.encode(lead + word, add_special_tokens=False).ids)
         pieces = _RUNS.findall(word)
@@ -143,6 +146,39 @@ class Encoder:
         except _Uneven:
             return self.encode(" ".join(words))
 
+    def encode_rows(self, known: list[str], place: np.ndarray, per_row: np.ndarray) -> list[bytes]:
+        """As ``encode_words`` for each of many rows of words, which are places in ``known``.
+
+        Each different word is looked up once, not once for every place.
+        """
+        edge = np.append(0, np.cumsum(per_row))
+        rows_of = lambda r: [known[i] for i in place[edge[r] : edge[r + 1]]]
+        if not self.by_word:
+            return [self.encode_words(rows_of(r)) for r in range(len(per_row))]
+        found, odd = [], np.zeros(len(known), bool)
+        for i, word in enumerate(known):
+            try:
+                found.append(self.later[word])
+            except _Uneven:
+                found.append(b"")
+                odd[i] = True
+        # The first word of a row has no blank before it, so it is an entry of its own.
+        heads = edge[:-1][per_row > 0]
+        found += [b"" if odd[i] else self.first[known[i]] for i in place[heads].tolist()]
+        entry = place.copy()
+        entry[heads] = len(known) + np.arange(len(heads))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        n = size.take(entry)
+        end = np.append(0, np.cumsum(n))
+        ids = np.frombuffer(b"".join(found), self.dtype)
+        ids = ids.take(np.arange(end[-1]) + np.repeat((np.cumsum(size) - size).take(entry) - end[:-1], n))
+        cut = end[edge].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+        if odd.any():
+            for r in np.unique(np.searchsorted(edge, np.flatnonzero(odd[place]), side="right") - 1).tolist():
+                out[r] = self.encode_words(rows_of(r))
+        return out
+
 
 def ship(spark: SparkSession, path: str) -> Broadcast:
     """The tokenizer file at ``path``, read once by the driver, for ``encoder`` in the tasks."""

@@ -8,7 +8,8 @@ import public_tokenizers
 import pytest
 
 from casemill.llm import attention as A
-from casemill.llm import lm
+from casemill.llm import lm, subwords
+from casemill.llm import texts as X
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -152,3 +153,52 @@ def test_a_batch_moves_only_the_rows_it_holds(small):
     for name in "qkv":
         assert np.array_equal(before[name][held], after[name][held])
         assert not np.array_equal(before[name], after[name])
+
+
+def test_rows_of_a_key_are_summed():
+    rng = np.random.default_rng(0)
+    for columns in (16, 56):
+        for key in (np.zeros(5, int), np.arange(7), np.sort(rng.integers(0, 40, 900))):
+            values = rng.integers(-9, 9, (len(key), columns)).astype(np.float32)
+            found, sums = A._summed(key, values)
+            assert found.tolist() == sorted(set(key.tolist())) and sums.dtype == np.float32
+            assert np.array_equal(sums, [values[key == k].sum(0) for k in found])
+
+
+def test_rows_share_the_ids_of_their_words(tokenizer):
+    with open(tokenizer, encoding="utf-8") as f:
+        e, plain = (subwords.Encoder(x) for x in [f.read()] * 2)
+    rows = [
+        ["the", "the", "where", "the"], [], ["the"], ["a\u00a0", "the"], ["<|endoftext|>", "x"], ["don't", "\u2003x", "é'ñ&&"],
+        ["x<|endoftext|>y"] * 3, [], ["a\u00a0b", "日本", "'s", "##"], ["where"],
+    ]
+    known = sorted({w for row in rows for w in row})
+    asked = []
+    e.word = lambda lead, word, f=e.word: asked.append((lead, word)) or f(lead, word)
+    place = np.array([known.index(w) for row in rows for w in row])
+    for encoder in (e, plain):
+        encoder.by_word = encoder is e
+        found = encoder.encode_rows(known, place, np.array([len(row) for row in rows]))
+        assert [np.frombuffer(b, e.dtype).tolist() for b in found] == [
+            plain.tokenizer.encode(" ".join(row), add_special_tokens=False).ids for row in rows
+        ]
+    assert len(asked) == len(set(asked))
+    assert e.encode_rows([], np.zeros(0, np.int64), np.zeros(2, np.int64)) == [b"", b""]
+    assert e.encode_rows([], np.zeros(0, np.int64), np.zeros(0, np.int64)) == []
+
+
+def test_words_stand_where_they_are_said_to():
+    import pyarrow as pa
+
+    texts = pa.array(["x", " The  é\tend ", None, "", "日本 a"]).slice(1)
+    w, data = X.words(texts), X.raw(texts)[0].tobytes()
+    assert [data[a : a + n].decode() for a, n in zip(w.start, w.size, strict=True)] == ["The", "é", "end", "日本", "a"]
+
+
+def test_weights_travel_as_four_bytes_and_answers_without_a_join(spark, tokenizer):
+    weights = A.flat(A.start())
+    assert sum(len(b) for b in lm._slices(weights, 3).column("numbers").to_pylist()) == 4 * len(weights)
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
+    texts, chunks, _, _ = lm.prepare(docs, ~lm.held_out("doc_id"), tokenizer)
+    plan = lm.unigram(texts, chunks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
