@@ -394,11 +394,11 @@ def fit(texts: DataFrame, vocab: attention.Vocabulary, rounds: int = ROUNDS, bat
 
 def attention_scores(texts: DataFrame, params, vocab: attention.Vocabulary) -> DataFrame:
     """chunk, n, k, train, n_words and score of every text."""
-    held = texts.sparkSession.sparkContext.broadcast((attention.joined(params, vocab.kinds), tuple(vocab)))
+    held = texts.sparkSession.sparkContext.broadcast((tuple(attention.joined(params, vocab.kinds)), tuple(vocab)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, v = held.value
-        vocab = attention.Vocabulary(*v)
+        t, v = held.value
+        tables, vocab = attention.Tables(*t), attention.Vocabulary(*v)
         dtype = "<u2" if vocab.end <= 1 << 16 else "<u4"
         for whole in batches:
             for batch in X.slabs(whole, "ids"):
